@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts reach Python workers in batches of so many rows, unless the session has set a size of its own: Spark's
+    default of 10,000 rows of whole documents is more than a worker should hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

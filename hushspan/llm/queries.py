@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushspan.llm.topk import ORACLE as TOPK
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -33,6 +36,37 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(coded, vocabulary()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe)}
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushspan.llm.langid import identify
+
+    return identify(documents(spark, sf_dir))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushspan.llm.topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushspan.llm.quality import classify
+
+    return classify(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Takes in all documents as one batch, sends the batch again (which changes nothing), and returns the totals."""
+    from hushspan.llm.bpe import count_tokens
+    from hushspan.llm.common import shared_dir
+    from hushspan.llm.rollup import Rollup, changes
+
+    totals = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    batch = changes(documents(spark, sf_dir), VOCABULARY, lambda docs: count_tokens(docs, vocabulary()))
+    totals.commit("load", batch)
+    totals.commit("load", batch)
+    return totals.totals()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe, op5_langid, op7_topk, op9_quality, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_topk": TOPK}
