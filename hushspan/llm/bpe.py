@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushspan.llm.common import small_batches
+
 # Classes. An apostrophe that opens a contraction is told by the number of letters that follow; white space by whether
 # the next character is white space (or the text's end) too.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, INNER, LAST_BLANK, LAST_SPACE, BREAK = range(9)
@@ -27,7 +29,7 @@ NEW, IN_LETTERS, IN_NUMBERS, IN_OTHERS, BLANK, IN_SPACE, LEFT1, LEFT2 = range(8)
 #: Code points with the White_Space property.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces remembered by a worker, in all.
-CACHE = 400_000
+CACHE = 250_000
 #: Longer pieces are merged by a heap and not remembered.
 LONG = 64
 
@@ -233,10 +235,11 @@ def coder(content: bytes, classes: bytes) -> Coder:
 
 def shared(spark, vocabulary: str):
     """The vocabulary and the classes, broadcast: about 2 MB, whatever the input."""
+    small_batches(spark)
     return spark.sparkContext.broadcast((read_ranks(vocabulary), class_table()))
 
 
-def batches(texts: list[str], most: int = 1_500_000) -> Iterator[list[str]]:
+def batches(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
     """Runs of texts of about `most` characters; a longer text makes a run of its own."""
     run, size = [], 0
     for x in texts:

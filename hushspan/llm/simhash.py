@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import components, durable
+from hushspan.llm.common import components, durable, small_batches
 
 #: Variants that a worker holds at once, and those that a group should have on average.
 CHUNK = 2_000_000
@@ -47,6 +47,7 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, words: int = 4, blocks: int = 1) -> DataFrame:
     """(doc_id, fp array of `blocks` longs): block i uses seed 42 + i."""
     seeds = tuple(range(42, 42 + blocks))
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<bigint>")
     def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
