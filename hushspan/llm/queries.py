@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushspan.llm.licenses import oracle, scan
 from hushspan.llm.topk import ORACLE as TOPK
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -42,12 +43,22 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushspan.llm.minhash import edited_likeness
+
+    return edited_likeness(documents(spark, sf_dir))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hushspan.llm.topk import top_k
 
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hushspan.llm.quality import classify
 
@@ -67,6 +78,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe, op5_langid, op7_topk, op9_quality, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe, op5_langid, op6_minhash, op7_topk, op8_licenses, op9_quality, op10_token_counts)}
 
-ORACLES: dict[str, str] = {"op7_topk": TOPK}
+ORACLES: dict[str, str] = {"op7_topk": TOPK, "op8_licenses": oracle()}
