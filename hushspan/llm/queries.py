@@ -30,6 +30,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4, radius=4)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushspan.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hushspan.llm.bpe import decode, encode
 
@@ -78,6 +84,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe, op5_langid, op6_minhash, op7_topk, op8_licenses, op9_quality, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_bpe, op5_langid, op6_minhash, op7_topk, op8_licenses, op9_quality, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op7_topk": TOPK, "op8_licenses": oracle()}
