@@ -43,6 +43,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(coded, vocabulary()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hushspan.llm.pii import BASE, find
+
+    own = find(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return own.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hushspan.llm.langid import identify
 
@@ -84,6 +94,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_bpe, op5_langid, op6_minhash, op7_topk, op8_licenses, op9_quality, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_bpe, op4_pii, op5_langid, op6_minhash, op7_topk, op8_licenses, op9_quality, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op7_topk": TOPK, "op8_licenses": oracle()}
