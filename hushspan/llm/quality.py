@@ -28,35 +28,46 @@ KEEP = 0.5
 LABELLERS = ("symbols", "shouting", "repetition", "cells", "alphabet", "sentences", "variety", "stutter")
 
 
-def statistics(text: str) -> dict[str, float]:
-    """What the labellers and the scorer look at, for a whole text."""
+@lru_cache(1 << 17)
+def traits(word: str) -> tuple[int, int, int, int]:
+    """(letters, upper-case letters, 1 marked 2 bare 3 closed, slot of the shape) of a word."""
+    letters = sum(map(str.isalpha, word))
+    upper = 0 if word.islower() else sum(map(str.isupper, word))
+    if not letters and not any(map(str.isdigit, word)):
+        ending = 2
+    elif len(word) > 2 and not word[-1].isalnum() and not word[-2].isalnum():
+        ending = 1
+    else:
+        ending = 3 if word[-1] in ".?!:;," else 0
+    return letters, upper, ending, shape(word)
+
+
+def statistics(text: str) -> tuple[dict[str, float], Counter[int]]:
+    """What the labellers and the scorer look at, for a whole text, and how often each word shape occurs."""
     words = text.split()
     count = Counter(words)
     n = max(1, len(words))
-    letters = upper = marked = bare = closed = 0
+    letters = upper = 0
+    endings = [0, 0, 0, 0]
+    shapes: Counter[int] = Counter()
     for w, k in count.items():
-        a = sum(map(str.isalpha, w))
+        a, u, e, slot = traits(w)
         letters += a * k
-        upper += (0 if w.islower() else sum(map(str.isupper, w))) * k
-        if not a and not any(map(str.isdigit, w)):
-            bare += k
-        elif len(w) > 2 and not w[-1].isalnum() and not w[-2].isalnum():
-            marked += k
-        elif w[-1] in ".?!:;,":
-            closed += k
-    chars = max(1, len(text))
+        upper += u * k
+        endings[e] += k
+        shapes[slot] += k
     return {
         "n": len(words),
-        "marked": marked / n,
-        "bare": bare / n,
+        "marked": endings[1] / n,
+        "bare": endings[2] / n,
         "upper": upper / max(1, letters),
         "distinct": len(count) / n,
         "top": max(count.values(), default=0) / n,
-        "letters": letters / chars,
-        "closed": closed / n,
+        "letters": letters / max(1, len(text)),
+        "closed": endings[3] / n,
         "stutter": sum(map(eq, words, words[1:])) / n,
         "blank": float(not words),
-    }
+    }, shapes
 
 
 def votes(s: dict[str, float]) -> tuple[int, ...]:
@@ -75,7 +86,6 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
     )
 
 
-@lru_cache(1 << 16)
 def shape(word: str) -> int:
     """Slot of a word's shape: classes of its characters, runs shortened; the letters themselves don't count."""
     s = re.sub(r"\d+", "9", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
@@ -95,13 +105,10 @@ def level(name: str, at: int) -> int:
     return hash_slot(f"{name} {at}")
 
 
-def features(text: str, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+def features(s: dict[str, float], shapes: Counter[int]) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights): shares of word shapes, and the statistics in steps."""
-    found: Counter[int] = Counter()
-    for w, k in Counter(text.split()).items():
-        found[shape(w)] += k
-    slots = np.fromiter(found, np.int64, len(found))
-    shares = np.sqrt(np.fromiter(found.values(), float, len(found)) / max(1, s["n"]))
+    slots = np.fromiter(shapes, np.int64, len(shapes))
+    shares = np.sqrt(np.fromiter(shapes.values(), float, len(shapes)) / max(1, s["n"]))
     spread = s["distinct"] * min(1.0, (s["n"] / 60) ** 0.4)
     steps = [level(k, int(10 * min(1.0, v))) for k, v in (*s.items(), ("spread", spread)) if k != "n"]
     return np.append(slots, steps), np.append(shares, np.full(len(steps), 0.5))
@@ -136,9 +143,8 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
-        text = text or ""
-        slots, values = features(text, statistics(text))
+    def score(self, seen: tuple[dict[str, float], Counter[int]]) -> float:
+        slots, values = features(*seen)
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[slots] @ values, -60, 60))))
 
 
@@ -169,7 +175,7 @@ def observed(docs: DataFrame, name: str = "pattern") -> DataFrame:
     @F.pandas_udf("array<int>")
     def vote(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in column:
-            yield pd.Series([list(votes(statistics(x or ""))) for x in texts], dtype=object)
+            yield pd.Series([list(votes(statistics(x or "")[0])) for x in texts], dtype=object)
 
     return docs.withColumn(name, vote("text"))
 
@@ -194,10 +200,10 @@ def train(docs: DataFrame) -> tuple[Scorer, dict[tuple[int, ...], float]]:
             for text, place in zip(part["text"], part["place"], strict=True):
                 if place >= max(most.values()):
                     continue
-                s = statistics(text or "")
-                p = good[votes(s)]
+                seen = statistics(text or "")
+                p = good[votes(seen[0])]
                 if place < most[p >= 0.5]:
-                    slots, values = features(text or "", s)
+                    slots, values = features(*seen)
                     out.append((slots, values, p))
             yield pd.DataFrame(out, columns=["slots", "weights", "label"])
 
@@ -220,7 +226,7 @@ def classify(docs: DataFrame, model: tuple[Scorer, dict[tuple[int, ...], float]]
     def judge(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer, posterior = model.value
         for texts in column:
-            found = [(posterior.get(votes(statistics(x or "")), 0.5), scorer.score(x)) for x in texts]
+            found = [(posterior.get(votes(seen[0]), 0.5), scorer.score(seen)) for seen in (statistics(x or "") for x in texts)]
             yield pd.DataFrame(found, columns=["weak_label", "quality_score"]).astype(float)
 
     own = docs.drop("weak_label", "quality_score", "keep").withColumn("_judged", judge("text"))
