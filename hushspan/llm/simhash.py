@@ -161,3 +161,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     named = linked.join(best, linked["root"] == best["top"]).select(F.col("v").alias("w"), "best")
     named = durable(nodes.join(named, nodes["v"] == named["w"], "left").select(F.col("v").alias("w"), F.coalesce("best", "least").alias("component_id")))
     return own.join(named, own["v"] == named["w"]).select("doc_id", F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """One row of docs for each near-duplicate group, that of the smallest doc_id; among rows of that id the least by
+    text and then the other columns. Rows with null ids form groups like others and stay only if a group has no id."""
+    found = near_duplicates(docs.select("doc_id", "text"), words, radius)
+    kept = found.select(F.col("component_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
