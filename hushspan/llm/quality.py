@@ -42,8 +42,22 @@ def traits(word: str) -> tuple[int, int, int, int]:
     return letters, upper, ending, shape(word)
 
 
-def statistics(text: str) -> tuple[dict[str, float], Counter[int]]:
-    """What the labellers and the scorer look at, for a whole text, and how often each word shape occurs."""
+#: Marks that words end in; what else a word may hold is looked at character by character.
+TAIL = ".,;:!?$%&#*|\"')]}"
+_slots: dict[tuple[str, str], int] = {}
+
+
+def plain_slot(kind: str, tail: str) -> int:
+    """Slot of the shape of a word of letters (a, A, Aa) and closing marks."""
+    if (slot := _slots.get((kind, tail))) is None:
+        if len(_slots) > 1 << 16:
+            _slots.clear()
+        slot = _slots[kind, tail] = shape(kind + tail)
+    return slot
+
+
+def statistics(text: str, shaped: bool = True) -> tuple[dict[str, float], Counter[int]]:
+    """What the labellers and the scorer look at, for a whole text, and, if asked for, how often each word shape occurs."""
     words = text.split()
     count = Counter(words)
     n = max(1, len(words))
@@ -51,11 +65,32 @@ def statistics(text: str) -> tuple[dict[str, float], Counter[int]]:
     endings = [0, 0, 0, 0]
     shapes: Counter[int] = Counter()
     for w, k in count.items():
-        a, u, e, slot = traits(w)
-        letters += a * k
-        upper += u * k
-        endings[e] += k
-        shapes[slot] += k
+        core = w.rstrip(TAIL)
+        if core.isalpha():
+            size = len(core)
+            letters += size * k
+            if core.islower():
+                kind = "a"
+            elif core.isupper():
+                kind = "A"
+                upper += size * k
+            elif core[1:].islower():
+                kind = "Aa"
+                upper += k
+            else:
+                kind = core
+                upper += sum(map(str.isupper, core)) * k
+            tail = w[size:]
+            if tail:
+                endings[1 if len(tail) > 1 else 3 if tail in ".?!:;," else 0] += k
+            if shaped:
+                shapes[plain_slot(kind, tail) if kind is not core else shape(w)] += k
+        else:
+            a, u, e, slot = traits(w)
+            letters += a * k
+            upper += u * k
+            endings[e] += k
+            shapes[slot] += k
     return {
         "n": len(words),
         "marked": endings[1] / n,
@@ -175,7 +210,7 @@ def observed(docs: DataFrame, name: str = "pattern") -> DataFrame:
     @F.pandas_udf("array<int>")
     def vote(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in column:
-            yield pd.Series([list(votes(statistics(x or "")[0])) for x in texts], dtype=object)
+            yield pd.Series([list(votes(statistics(x or "", shaped=False)[0])) for x in texts], dtype=object)
 
     return docs.withColumn(name, vote("text"))
 
