@@ -58,5 +58,5 @@ def resolve(df: DataFrame, found: str, out: str = "spans") -> DataFrame:
 
     own = df.withColumn("_sorted", ordered(F.col(found))).drop(found)
     own = own.withColumn("_hit", let(F.col("_sorted"), overlap))
-    own = own.withColumn("_settled", settled(F.when(F.col("_hit"), F.col("_sorted")), F.when(F.col("_hit"), F.col("text"))))
+    own = own.withColumn("_settled", settled.asNondeterministic()(F.when(F.col("_hit"), F.col("_sorted")), F.when(F.col("_hit"), F.col("text"))))
     return own.withColumn(out, F.coalesce("_settled", "_sorted")).drop("_sorted", "_hit", "_settled")
