@@ -49,8 +49,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = find(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return own.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return own.select("doc_id", *map(count, BASE), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
