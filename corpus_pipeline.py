@@ -32,7 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, that of the smallest doc_id; of rows with that id the least text."""
-    return simhash.distinct_documents(columns(docs), words=5, radius=4).select(*COLUMNS)
+    return simhash.distinct_documents(columns(docs), words=5, similarity=0.8).select(*COLUMNS)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

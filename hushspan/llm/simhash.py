@@ -163,10 +163,145 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return own.join(named, own["v"] == named["w"]).select("doc_id", F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def distinct_documents(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """One row of docs for each near-duplicate group, that of the smallest doc_id; among rows of that id the least by
-    text and then the other columns. Rows with null ids form groups like others and stay only if a group has no id."""
-    found = near_duplicates(docs.select("doc_id", "text"), words, radius)
+
+#: Of similar(): tables of HALF bits each, blocks of 64 bits in all, bits of the next table that must also be near, leading
+#: bits that deal out the variants, longest run of equal variants whose pairs are all looked at.
+TABLES, HALF, BLOCKS, SECOND, LEAD, RUN = 8, 32, 12, 10, 6, 8
+
+
+def wide_fingerprint(text: str | None, words: int) -> list[int]:
+    """BLOCKS fingerprints of 64 bits from as many mixtures of the shingles' hashes."""
+    h = shingle_hashes(text, words)[0]
+    out = []
+    for k in range(BLOCKS):
+        x = h ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def tree(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indices of links that join whatever all of them join, nearest first: a forest of least distances."""
+    label, chosen = np.arange(n), []
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        while True:
+            x, y = label[a[at]], label[b[at]]
+            at, x, y = at[x != y], x[x != y], y[x != y]
+            if not len(at):
+                break
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            # each class hooks to one below it, by one link
+            order = np.lexsort((low, high))
+            first = order[np.append(True, high[order][1:] != high[order][:-1])]
+            chosen.append(at[first])
+            label = joined(label, high[first], low[first])
+    return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+
+
+def near_pairs(values: np.ndarray, prefix: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between values (HALF bits of a table above HALF bits of the next) that share a variant of the upper half
+    under the prefix and are near in the lower one: a forest of the nearest."""
+    rest, half = HALF - lead, 2
+    upper = values >> np.uint64(HALF)
+    far = np.bitwise_count((upper >> np.uint64(rest)) ^ np.uint64(prefix)).astype(np.int64)
+    tail = upper & np.uint64((1 << rest) - 1)
+    flips = [masks(rest, half - d) for d in range(half + 1)]
+    sets = [np.flatnonzero(far == d) for d in range(half + 1)]
+    passes = max(1, -(-sum(len(i) * len(m) for i, m in zip(sets, flips, strict=True)) // CHUNK))
+    n, kept = len(values), np.empty((3, 0), np.int64)
+    for k in range(passes):
+        found, owner = [], []
+        for i, m in zip(sets, flips, strict=True):
+            rows = max(1, CHUNK // len(m))
+            for at in range(0, len(i), rows):
+                v = (tail[i[at : at + rows]][:, None] ^ m[None, :]).ravel()
+                o = np.repeat(i[at : at + rows], len(m))
+                keep = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(passes) == k if passes > 1 else slice(None)
+                found.append(v[keep])
+                owner.append(o[keep])
+        v, o = np.concatenate(found), np.concatenate(owner)
+        # in a run the member nearest to the variant comes first: it stands for copies of one text
+        order = np.lexsort((o, np.bitwise_count(v ^ tail[o]), v))
+        v, o = v[order], o[order]
+        new = np.append(True, v[1:] != v[:-1]) if len(v) else np.empty(0, bool)
+        begin = np.flatnonzero(new)
+        length = np.diff(np.append(begin, len(v)))
+        size, head = np.repeat(length, length), np.repeat(begin, length)
+        links = [kept]
+        for step in range(1, RUN):
+            i = np.flatnonzero((v[step:] == v[:-step]) & ((size[step:] <= RUN) | (step == 1)))
+            links.append(close(values, o[i], o[i + step]))
+        i = np.flatnonzero((size > RUN) & ~new)
+        links.append(close(values, o[head[i]], o[i]))
+        both = np.unique(np.concatenate(links, axis=1), axis=1)
+        kept = both[:, tree(n, *both)]
+    return kept[0], kept[1]
+
+
+def close(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(smaller, larger, distance) of the pairs that are near in the lower half too."""
+    d = np.bitwise_count((values[a] ^ values[b]) & np.uint64((1 << HALF) - 1)).astype(np.int64)
+    ok = (d <= SECOND) & (a != b)
+    whole = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
+    return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok], whole[ok]])
+
+
+def far_at(similarity: float) -> int:
+    """Differing bits, of all blocks, of two texts that share this part of their shingles."""
+    return int(64 * BLOCKS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): texts whose shingles of `words` words have about this Jaccard similarity or more are linked.
+
+    At this similarity one 64-bit fingerprint differs in about ten bits, out of reach of a ball. So TABLES fingerprints of
+    HALF bits take part, each with radius 4, and what any of them lets meet is held against all 64 * BLOCKS bits, whose
+    differing share estimates the similarity; a margin of 0.03 is given to the estimate's error. Equal texts need no link.
+    Null and empty texts are alike; null ids as in near_duplicates.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("array<bigint>")
+    def wide(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([wide_fingerprint(x, words) for x in batch], dtype=object)
+
+    own = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide("text").alias("fp")))
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # a node is known by its least id; one without any by a negative number made of its bits
+    nodes = durable(nodes.select("fp", "least", F.coalesce("least", -1 - F.shiftrightunsigned(F.xxhash64("fp"), 2)).alias("node")))
+    count = nodes.count()
+    lead = int(min(LEAD, max(1, np.ceil(np.log2(max(1, count * len(masks(HALF, 2)) / CHUNK))))))
+    half = lambda i: F.shiftrightunsigned(F.element_at("fp", i // 2 + 1), 32 * (1 - i % 2)).bitwiseAND(0xFFFFFFFF)
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.shiftleft(half(i), 32).bitwiseOR(half((i + 1) % TABLES)).alias("v")) for i in range(TABLES)])
+    dealt = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.v")
+    flips = F.array(*[F.lit(int(m)).cast("long") for m in masks(lead, 2)])
+    dealt = dealt.select("node", "v", F.explode(F.transform(flips, lambda m: F.col("t").cast("long") * (1 << lead) + m.bitwiseXOR(F.shiftrightunsigned("v", 64 - lead)))).alias("part"))
+
+    def links(key, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["v", "node"])
+        node = group["node"].to_numpy()
+        a, b = near_pairs(group["v"].to_numpy().view(np.uint64), int(key[0]) % (1 << lead), lead)
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    pairs = durable(dealt.groupBy("part").applyInPandas(links, "a long, b long").distinct())
+    one, two = (nodes.select(F.col("node").alias(f"n{i}"), F.col("fp").alias(f"fp{i}")) for i in (1, 2))
+    held = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
+    apart = F.aggregate(F.zip_with("fp1", "fp2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    roots = components(held.where(apart <= far_at(similarity - 0.03)).select("a", "b"))
+    linked = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "root", "least")
+    best = linked.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("best"))
+    named = linked.join(best, F.col("root") == F.col("top")).select(F.col("node").alias("n"), "best")
+    named = durable(nodes.join(named, F.col("node") == F.col("n"), "left").select(F.col("fp").alias("of"), F.coalesce("best", "least").alias("component_id")))
+    return own.join(named, F.col("fp") == F.col("of")).select("doc_id", "component_id")
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of similar(), that of the smallest doc_id; among rows of that id the least by text
+    and then the other columns. Rows with null ids form groups like others and stay only if a group has no id."""
+    found = similar(docs.select("doc_id", "text"), words, similarity)
     kept = found.select(F.col("component_id").alias("kept_id")).distinct()
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
