@@ -55,3 +55,8 @@ def overlap(spans: Column) -> Column:
     """Whether any span of an ordered array starts before an earlier one ends."""
     start = F.struct(F.lit(-1).alias("end"), F.lit(False).alias("hit"))
     return F.aggregate(spans, start, lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["hit"] | (s["start"] < a["end"])).alias("hit")))["hit"]
+
+
+def grapheme_offset(text: Column, start: Column) -> Column:
+    """A code point offset as a count of characters as readers see them (CRLF, emoji and accents are one each)."""
+    return F.regexp_count(F.left(text, start), F.lit(r"\X"))

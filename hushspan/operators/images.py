@@ -75,3 +75,16 @@ def thumbnail_size(width: Column, height: Column, most: int = 512) -> Column:
     scale = F.lit(float(most)) / F.greatest(width, height)
     fit = lambda side: F.when(scale < 1, F.greatest(F.lit(1), F.round(side * scale).cast("int"))).otherwise(side.cast("int"))
     return F.struct(fit(width).alias("width"), fit(height).alias("height"))
+
+
+def shrink(width: int, height: int, rgba: bytes, most: int = 512) -> tuple[int, int, bytes]:
+    """(width, height, pixels) with the longer side at most `most`: each new pixel is the mean of those it stands for."""
+    scale = most / max(width, height)
+    if scale >= 1:
+        return width, height, rgba
+    w, h = max(1, int(np.floor(width * scale + 0.5))), max(1, int(np.floor(height * scale + 0.5)))
+    image = np.frombuffer(rgba, np.uint8).reshape(height, width, 4).astype(np.float64)
+    ys, xs = np.arange(h) * height // h, np.arange(w) * width // w
+    sums = np.add.reduceat(np.add.reduceat(image, ys, axis=0), xs, axis=1)
+    cells = np.diff(np.append(ys, height))[:, None, None] * np.diff(np.append(xs, width))[None, :, None]
+    return w, h, (sums / cells).astype(np.uint8).tobytes()

@@ -149,3 +149,8 @@ def dedup_regions(regions: Column) -> Column:
 
 def dedup_lines(lines: Column) -> Column:
     return F.coalesce(_folded(merge_lines, LINE)(F.when(F.size(lines) > 1, lines)), lines)
+
+
+def pixel_box(box: Column, width: Column, height: Column) -> Column:
+    """A box in parts of the image, counted from below, as pixels counted from above."""
+    return F.struct((box["x"] * width).alias("x"), ((1 - box["y"] - box["h"]) * height).alias("y"), (box["w"] * width).alias("w"), (box["h"] * height).alias("h"))

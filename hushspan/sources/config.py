@@ -73,3 +73,40 @@ def dropped_languages(preferred: Column, offered: Column) -> Column:
 def guard_output(source: str, target: str) -> None:
     if os.path.realpath(source) == os.path.realpath(target):
         raise ValueError("input and output are the same")
+
+#: Used where no prompt file is given. {categories} and {text} are filled in.
+PROMPT = {
+    "instructions": "Find what identifies a person. Copy each value exactly as it stands in the text; leave out what merely describes.",
+    "template": "Name every identifier in the text below, each with one of these categories: {categories}.\n\n{text}",
+    "categories": "NAME ADDRESS ZIP DOB DATE PHONE FAX EMAIL SSN MRN ACCOUNT LICENSE BENEFICIARY IP URL DEVICE VEHICLE AGE SEX RACE MARITAL OTHER".split(),
+}
+# Formats that a redacted document is written in, by the extension asked for.
+DOCUMENT_TYPES = {"docx": "docx", "doc": "doc", "html": "html", "htm": "html", "odt": "odt"}
+
+
+def load_prompt(path: str | None) -> dict:
+    """The prompt of a JSON file; what the file lacks, or all of it if it can't be read, is that of PROMPT."""
+    try:
+        with open(path or "", encoding="utf-8") as f:
+            found = json.load(f)
+        return PROMPT | {k: v for k, v in found.items() if k in PROMPT}
+    except (OSError, ValueError, AttributeError):
+        return dict(PROMPT)
+
+
+def document_type(path: Column) -> Column:
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in DOCUMENT_TYPES.items() for x in pair]), ext), F.lit("rtf"))
+
+
+def load_key(path: str) -> tuple[bytes, bool]:
+    """(key, kept): the key of a file, made on first use; where it can't be kept, one for this run alone, which the caller
+    should tell the user."""
+    try:
+        if not os.path.exists(path):
+            with open(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600), "wb") as f:
+                f.write(os.urandom(32))
+        with open(path, "rb") as f:
+            return f.read(), True
+    except OSError:
+        return os.urandom(32), False

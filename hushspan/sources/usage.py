@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,25 @@ def total(counts: Column) -> Column:
 
 def by_type(log: DataFrame) -> DataFrame:
     return log.select(F.explode("entity_counts").alias("type", "n")).groupBy("type").agg(F.sum("n").alias("n"))
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Deletes the log, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def adopt(source: str, target: str, names: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """Copies files of an older place that the new one lacks: (names that failed, names that were there already)."""
+    failed, present = [], []
+    os.makedirs(target, exist_ok=True)
+    for name in names:
+        old, new = os.path.join(source, name), os.path.join(target, name)
+        if os.path.exists(new):
+            present.append(name)
+        elif os.path.exists(old):
+            try:
+                shutil.copy2(old, new)
+            except OSError:
+                failed.append(name)
+    return failed, present

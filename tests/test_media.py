@@ -156,3 +156,21 @@ def test_log(spark, tmp_path):
     back = usage.read_log(spark, str(tmp_path / "log"))
     assert back.count() == 2 and [r["id"] for r in usage.retained(back, 90, now).collect()] == ["1"]
     assert usage.by_type(back).first()["n"] == 4
+
+
+def test_small_things(spark, tmp_path):
+    assert config.load_prompt(None) == config.PROMPT and config.load_prompt(str(tmp_path / "none"))["categories"]
+    (tmp_path / "p.json").write_text('{"template": "{categories}: {text}"}')
+    assert config.load_prompt(str(tmp_path / "p.json"))["template"] == "{categories}: {text}"
+    key, kept = config.load_key(str(tmp_path / "key"))
+    assert kept and config.load_key(str(tmp_path / "key")) == (key, True) and not config.load_key(str(tmp_path / "no/key"))[1]
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/a").write_text("1")
+    assert usage.adopt(str(tmp_path / "old"), str(tmp_path / "new"), ("a", "b")) == ([], []) and usage.adopt(str(tmp_path / "old"), str(tmp_path / "new"), ("a",)) == ([], ["a"])
+    w, h, pixels = images.shrink(1000, 500, b"\xff" * 2_000_000)
+    assert (w, h) == (512, 256) and pixels == b"\xff" * (512 * 256 * 4)
+    df = spark.createDataFrame([("a.docx", "x\r\né")], "p string, t string")
+    from hushspan.functions.spans import grapheme_offset
+
+    row = df.select(config.document_type(F.col("p")), config.render_prompt("{categories}|{text}", ["A", "B"], F.col("t")), grapheme_offset(F.col("t"), F.lit(3)), regions.pixel_box(F.struct(F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.5).alias("w"), F.lit(0.3).alias("h")), F.lit(100), F.lit(10))).first()
+    assert row[0] == "docx" and row[1] == "A, B|x\r\né" and row[2] == 2 and row[3]["y"] == pytest.approx(5)
