@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushspan.functions.entities import SPANS, let, no_spans, span
+from hushspan.functions.entities import let, no_spans, span
 from hushspan.functions.rules import Rule
 
 
@@ -26,12 +26,15 @@ def places(text: Column, pattern: str) -> Column:
     return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast("array<struct<start:int,value:string>>")).otherwise(F.aggregate(pairs, start, step)["out"]))
 
 
-def rule_spans(text: Column, rule: Rule, source: str = "regex", detector: int = 0, ord: int = 0) -> Column:
-    """SPANS of one rule; the costly part runs only for texts that pass the rule's cheap test and match at all."""
+def rule_spans(text: Column, rule: Rule, source: str = "regex", detector: int = 0, ord: int = 0, low: Column | None = None) -> Column:
+    """SPANS of one rule; the costly part runs only for texts that pass the rule's cheap tests and match at all. low: the
+    text in lower case, where several rules share it."""
     one = F.transform(places(text, rule.java), lambda m, i: span(m["start"], m["value"], rule.type, rule.confidence, source, rule.disposition, detector, F.lit(ord * 100_000) + i))
     test = text.rlike(rule.java)
+    if rule.hint:
+        test = text.rlike(rule.hint) & test
     if rule.needs:
-        low = F.lower(text)
+        low = F.lower(text) if low is None else low
         any_of = low.contains(rule.needs[0])
         for word in rule.needs[1:]:
             any_of = any_of | low.contains(word)
@@ -40,8 +43,9 @@ def rule_spans(text: Column, rule: Rule, source: str = "regex", detector: int =
 
 
 def rules_spans(text: Column, rules: list[Rule], source: str = "regex", detector: int = 0) -> Column:
-    parts = [rule_spans(text, r, source, detector, i) for i, r in enumerate(rules)]
-    return F.concat(*parts) if parts else F.array().cast(SPANS)
+    if not rules:
+        return no_spans()
+    return let(F.lower(text), lambda low: F.concat(*[rule_spans(text, r, source, detector, i, low) for i, r in enumerate(rules)]))
 
 
 def ordered(spans: Column) -> Column:

@@ -181,7 +181,11 @@ def name_spans(text: Column, names: Sequence[str] = GIVEN_NAMES) -> Column:
     eponym = r"\b\p{Lu}[\p{L}\-]+(?=['’]s[ ](?:disease|syndrome|reflex)\b)"
     found = places(text, rf"(?U)\b(?:{given})|{titled}|{eponym}")
     spans = F.transform(found, lambda m, i: span(m["start"], m["value"], "name", 0.6, "nameEntity", "redact", NAMES, i))
-    return F.when(text.rlike(r"\p{Lu}"), drop_frames(spans, text, names)).otherwise(no_spans())
+    # the cheap test: a known name, a title or the end of an eponym stands somewhere
+    known = sorted({n.lower() for n in names} | set(TITLES.lower().split("|")))
+    low = F.lower(text)
+    hit = F.exists(F.split(low, r"[^\p{L}]+"), lambda w: w.isin(known)) | low.rlike("['’]s[ ](?:disease|syndrome|reflex)")
+    return F.when(hit, drop_frames(spans, text, names)).otherwise(no_spans())
 
 
 def drop_frames(spans: Column, text: Column, names: Sequence[str] = GIVEN_NAMES) -> Column:
