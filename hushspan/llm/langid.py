@@ -23,6 +23,8 @@ from hushspan.llm.common import small_batches
 SAMPLE = 3000
 #: Lengths of n-grams, hash functions, slots for each entry, least count and least share of the most frequent language's rate.
 SIZES, HASHES, SLOTS, LEAST, SHARE = (2, 3, 4), 3, 24, 4, 0.25
+#: Languages whose shares are broadcast at most.
+MANY = 10_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SPACE = 32
 
@@ -129,6 +131,9 @@ def train(docs: DataFrame) -> Model:
     or more, whose number the sample bounds."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     share = known.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("share")).withColumnRenamed("lang", "of")
+    rows = share.limit(MANY + 1).collect()
+    if len(rows) <= MANY:  # the usual case: texts then stay where they are; with more languages the join deals them out
+        share = F.broadcast(docs.sparkSession.createDataFrame(rows, share.schema))
     least = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
     sample = known.join(share, known["lang"] == share["of"]).where(least < F.col("share")).select("lang", "text")
 
