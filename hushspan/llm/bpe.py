@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import small_batches
+from hushspan.llm.common import small_batches, trim
 
 # Classes. An apostrophe that opens a contraction is told by the number of letters that follow; white space by whether
 # the next character is white space (or the text's end) too.
@@ -29,7 +29,7 @@ NEW, IN_LETTERS, IN_NUMBERS, IN_OTHERS, BLANK, IN_SPACE, LEFT1, LEFT2 = range(8)
 #: Code points with the White_Space property.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces remembered by a worker, in all.
-CACHE = 250_000
+CACHE = 150_000
 #: Longer pieces are merged by a heap and not remembered.
 LONG = 64
 
@@ -271,6 +271,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ids += some
                 offsets += [x.astype("<u4").tobytes() for x in places]
             yield pd.DataFrame({"ids": ids, "offsets": offsets, "n_tokens": [len(x) // 4 for x in ids]})
+        trim()
 
     own = docs.drop("ids", "offsets", "n_tokens").withColumn("_coded", coded("text"))
     return own.select(*[c for c in own.columns if c != "_coded"], "_coded.*")
@@ -299,5 +300,6 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
         own = coder(*common.value)
         for series in column:
             yield pd.Series([None if x is None else own.decode(x) for x in series], dtype=object)
+        trim()
 
     return coded.withColumn("decoded", plain("ids"))

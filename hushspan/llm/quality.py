@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import durable, small_batches
+from hushspan.llm.common import durable, small_batches, trim
 
 #: Rows that the linear scorer is fitted on, about; hashed features; rounds of EM and of gradient descent.
 SAMPLE, FEATURES, ROUNDS, STEPS = 6000, 1 << 14, 200, 300
@@ -28,7 +28,7 @@ KEEP = 0.5
 LABELLERS = ("symbols", "shouting", "repetition", "cells", "alphabet", "sentences", "variety", "stutter")
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 14)
 def traits(word: str) -> tuple[int, int, int, int]:
     """(letters, upper-case letters, 1 marked 2 bare 3 closed, slot of the shape) of a word."""
     letters = sum(map(str.isalpha, word))
@@ -263,6 +263,7 @@ def classify(docs: DataFrame, model: tuple[Scorer, dict[tuple[int, ...], float]]
         for texts in column:
             found = [(posterior.get(votes(seen[0]), 0.5), scorer.score(seen)) for seen in (statistics(x or "") for x in texts)]
             yield pd.DataFrame(found, columns=["weak_label", "quality_score"]).astype(float)
+        trim()
 
     own = docs.drop("weak_label", "quality_score", "keep").withColumn("_judged", judge("text"))
     return own.select(*[c for c in own.columns if c != "_judged"], "_judged.*").withColumn("keep", F.col("quality_score") >= KEEP)

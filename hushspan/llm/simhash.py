@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import components, durable, small_batches
+from hushspan.llm.common import components, durable, small_batches, trim
 
 #: Variants that a worker holds at once, and those that a group should have on average.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
@@ -267,6 +267,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     def wide(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([wide_fingerprint(x, words) for x in batch], dtype=object)
+        trim()
 
     own = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide("text").alias("fp")))
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -284,6 +285,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
         group = group.sort_values(["v", "node"])
         node = group["node"].to_numpy()
         a, b = near_pairs(group["v"].to_numpy().view(np.uint64), int(key[0]) % (1 << lead), lead)
+        trim()
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
     pairs = durable(dealt.groupBy("part").applyInPandas(links, "a long, b long").distinct())
