@@ -254,12 +254,12 @@ def far_at(similarity: float) -> int:
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): texts whose shingles of `words` words have about this Jaccard similarity or more are linked.
+    """(doc_id, text_hash, component_id), one row for each id and text: texts whose shingles of `words` words have about this Jaccard similarity or more are linked.
 
     At this similarity one 64-bit fingerprint differs in about ten bits, out of reach of a ball. So TABLES fingerprints of
     HALF bits take part, each with radius 4, and what any of them lets meet is held against all 64 * BLOCKS bits, whose
     differing share estimates the similarity; a margin of 0.03 is given to the estimate's error. Equal texts need no link.
-    Null and empty texts are alike; null ids as in near_duplicates.
+    Null and empty texts are alike. A component is named by one of its fingerprints' hashes, whatever the ids are.
     """
     small_batches(docs.sparkSession)
 
@@ -269,10 +269,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
             yield pd.Series([wide_fingerprint(x, words) for x in batch], dtype=object)
         trim()
 
-    own = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), wide("text").alias("fp")))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # a node is known by its least id; one without any by a negative number made of its bits
-    nodes = durable(nodes.select("fp", "least", F.coalesce("least", -1 - F.shiftrightunsigned(F.xxhash64("fp"), 2)).alias("node")))
+    own = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), wide("text").alias("fp")).withColumn("node", F.xxhash64("fp")))
+    nodes = durable(own.select("node", "fp").distinct())
     count = nodes.count()
     lead = int(min(LEAD, max(1, np.ceil(np.log2(max(1, count * len(masks(HALF, 2)) / CHUNK))))))
     half = lambda i: F.shiftrightunsigned(F.element_at("fp", i // 2 + 1), 32 * (1 - i % 2)).bitwiseAND(0xFFFFFFFF)
@@ -293,18 +291,17 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     held = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
     apart = F.aggregate(F.zip_with("fp1", "fp2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     roots = components(held.where(apart <= far_at(similarity - 0.03)).select("a", "b"))
-    linked = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "root", "least")
-    best = linked.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("best"))
-    named = linked.join(best, F.col("root") == F.col("top")).select(F.col("node").alias("n"), "best")
-    named = durable(nodes.join(named, F.col("node") == F.col("n"), "left").select(F.col("fp").alias("of"), F.coalesce("best", "least").alias("component_id")))
-    return own.join(named, F.col("fp") == F.col("of")).select("doc_id", "component_id")
+    found = own.select("doc_id", "text_hash", "node").distinct().join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    return found.select("doc_id", "text_hash", F.coalesce("root", "node").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of docs for each group of similar(), that of the smallest doc_id; among rows of that id the least by text
-    and then the other columns. Rows with null ids form groups like others and stay only if a group has no id."""
-    found = similar(docs.select("doc_id", "text"), words, similarity)
-    kept = found.select(F.col("component_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return rows.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    and then the other columns. Rows whose ids are null or repeated are told apart by their texts: they form groups like
+    others, and one with a null id stays only if its group has no id."""
+    found = durable(similar(docs.select("doc_id", "text"), words, similarity))
+    best = found.groupBy(F.col("component_id").alias("group")).agg(F.min("doc_id").alias("best"))
+    first = found.join(best, (F.col("component_id") == F.col("group")) & F.col("doc_id").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_id"), "text_hash", "group")
+    own = docs.select(F.struct("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"), F.xxhash64("text").alias("_hash"))
+    rows = own.join(first, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")))
+    return rows.groupBy("group").agg(F.min("row").alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])

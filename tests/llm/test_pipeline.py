@@ -52,3 +52,10 @@ def test_odd_rows(spark, docs):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, None, None, None, None)], docs.schema)
     for _, stage in p.STAGES:
         assert stage(spark, odd, DATA).count() >= 0 and stage(spark, odd.limit(0), DATA).count() == 0
+
+
+def test_rows_without_own_id_stay_apart(spark, docs):
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    rows = [(None, t, "en", "s", 1) for t in texts[:3]] + [(7, t, "en", "s", 1) for t in texts[3:5]] + [(8, texts[5], "en", "s", 1), (None, texts[5], "en", "s", 1), (None, texts[0], "en", "s", 1), (9, texts[1], "en", "s", 1)]
+    kept = p.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), DATA).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, texts[0]), (9, texts[1]), (0, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
