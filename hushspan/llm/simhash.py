@@ -164,14 +164,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 
-#: Of similar(): tables of HALF bits each, blocks of 64 bits in all, bits of the next table that must also be near, leading
-#: bits that deal out the variants, longest run of equal variants whose pairs are all looked at.
-TABLES, HALF, BLOCKS, SECOND, LEAD, RUN = 8, 32, 12, 10, 6, 8
+#: Of similar(): keys of a text and minima that make one; blocks of 64 bits of the prefilter, standard deviations that it
+#: leaves as margin, shingles from which on it is used; rounds of stars at most.
+KEYS, MINIMA, BLOCKS, MARGIN, MANY, STARS = 40, 4, 12, 6, 64, 3
+_rng = np.random.default_rng(42)
+_XOR, _ODD = (_rng.integers(0, 1 << 64, (KEYS * MINIMA, 1), np.uint64) for _ in range(2))
+_ODD = _ODD | np.uint64(1)
+_MIX = _rng.integers(0, 1 << 64, (1, MINIMA), np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: str | None, words: int) -> list[int]:
-    """BLOCKS fingerprints of 64 bits from as many mixtures of the shingles' hashes."""
-    h = shingle_hashes(text, words)[0]
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words)[0])
+
+
+def wide_fingerprint(h: np.ndarray) -> list[int]:
+    """BLOCKS fingerprints of 64 bits from as many mixtures of the hashes of a set."""
     out = []
     for k in range(BLOCKS):
         x = h ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
@@ -181,117 +188,119 @@ def wide_fingerprint(text: str | None, words: int) -> list[int]:
     return out
 
 
-def tree(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Indices of links that join whatever all of them join, nearest first: a forest of least distances."""
-    label, chosen = np.arange(n), []
-    for level in np.unique(d):
-        at = np.flatnonzero(d == level)
-        while True:
-            x, y = label[a[at]], label[b[at]]
-            at, x, y = at[x != y], x[x != y], y[x != y]
-            if not len(at):
-                break
-            high, low = np.maximum(x, y), np.minimum(x, y)
-            # each class hooks to one below it, by one link
-            order = np.lexsort((low, high))
-            first = order[np.append(True, high[order][1:] != high[order][:-1])]
-            chosen.append(at[first])
-            label = joined(label, high[first], low[first])
-    return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
-
-
-def near_pairs(values: np.ndarray, prefix: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between values (HALF bits of a table above HALF bits of the next) that share a variant of the upper half
-    under the prefix and are near in the lower one: a forest of the nearest."""
-    rest, half = HALF - lead, 2
-    upper = values >> np.uint64(HALF)
-    far = np.bitwise_count((upper >> np.uint64(rest)) ^ np.uint64(prefix)).astype(np.int64)
-    tail = upper & np.uint64((1 << rest) - 1)
-    flips = [masks(rest, half - d) for d in range(half + 1)]
-    sets = [np.flatnonzero(far == d) for d in range(half + 1)]
-    passes = max(1, -(-sum(len(i) * len(m) for i, m in zip(sets, flips, strict=True)) // CHUNK))
-    n, kept = len(values), np.empty((3, 0), np.int64)
-    for k in range(passes):
-        found, owner = [], []
-        for i, m in zip(sets, flips, strict=True):
-            rows = max(1, CHUNK // len(m))
-            for at in range(0, len(i), rows):
-                v = (tail[i[at : at + rows]][:, None] ^ m[None, :]).ravel()
-                o = np.repeat(i[at : at + rows], len(m))
-                keep = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(passes) == k if passes > 1 else slice(None)
-                found.append(v[keep])
-                owner.append(o[keep])
-        v, o = np.concatenate(found), np.concatenate(owner)
-        # in a run the member nearest to the variant comes first: it stands for copies of one text
-        order = np.lexsort((o, np.bitwise_count(v ^ tail[o]), v))
-        v, o = v[order], o[order]
-        new = np.append(True, v[1:] != v[:-1]) if len(v) else np.empty(0, bool)
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, len(v)))
-        size, head = np.repeat(length, length), np.repeat(begin, length)
-        links = [kept]
-        for step in range(1, RUN):
-            i = np.flatnonzero((v[step:] == v[:-step]) & ((size[step:] <= RUN) | (step == 1)))
-            links.append(close(values, o[i], o[i + step]))
-        i = np.flatnonzero((size > RUN) & ~new)
-        links.append(close(values, o[head[i]], o[i]))
-        both = np.unique(np.concatenate(links, axis=1), axis=1)
-        kept = both[:, tree(n, *both)]
-    return kept[0], kept[1]
-
-
-def close(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(smaller, larger, distance) of the pairs that are near in the lower half too."""
-    d = np.bitwise_count((values[a] ^ values[b]) & np.uint64((1 << HALF) - 1)).astype(np.int64)
-    ok = (d <= SECOND) & (a != b)
-    whole = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
-    return np.stack([np.minimum(a, b)[ok], np.maximum(a, b)[ok], whole[ok]])
+def meeting_keys(h: np.ndarray) -> list[int]:
+    """KEYS keys of a set, each of MINIMA minima of its hashes: two sets share one with the power MINIMA of their similarity.
+    At 0.8 a pair shares none of 40 with a probability of 7e-10. An empty set has none."""
+    if not len(h):
+        return []
+    least = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 512):
+        np.minimum(least, ((h[None, i : i + 512] ^ _XOR) * _ODD).min(1), out=least)
+    x = (least.reshape(KEYS, MINIMA) * _MIX).sum(1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64).tolist()
 
 
 def far_at(similarity: float) -> int:
-    """Differing bits, of all blocks, of two texts that share this part of their shingles."""
-    return int(64 * BLOCKS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Differing bits, of all blocks, that two sets of this similarity stay under but for MARGIN standard deviations."""
+    bits, p = 64 * BLOCKS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + MARGIN * np.sqrt(bits * p * (1 - p)))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, component_id), one row for each id and text: texts whose shingles of `words` words have about this Jaccard similarity or more are linked.
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted) have this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
-    At this similarity one 64-bit fingerprint differs in about ten bits, out of reach of a ball. So TABLES fingerprints of
-    HALF bits take part, each with radius 4, and what any of them lets meet is held against all 64 * BLOCKS bits, whose
-    differing share estimates the similarity; a margin of 0.03 is given to the estimate's error. Equal texts need no link.
-    Null and empty texts are alike. A component is named by one of its fingerprints' hashes, whatever the ids are.
-    """
-    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<bigint>")
-    def wide(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([wide_fingerprint(x, words) for x in batch], dtype=object)
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: bool = False) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose sets of shingles have the similarity. The bits only spare pairs the texts;
+    if `few`, at most three pairs of each b are tried, among them that of fewest differing bits."""
+    one, two = (nodes.select(F.col("node").alias(f"n{i}"), F.col("fp").alias(f"fp{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
+    held = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
+    apart = F.aggregate(F.zip_with("fp1", "fp2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    least, most = F.least("s1", "s2"), F.greatest("s1", "s2")
+    held = held.where(least >= most * similarity - 1e-9).select("a", "b", apart.alias("apart"), least.alias("least"))
+    held = held.where((F.col("least") < MANY) | (F.col("apart") <= far_at(similarity)))
+    if few:
+        # aggregates instead of a window: they are combined before the shuffle
+        some = F.xxhash64("a", "b")
+        tried = held.groupBy("b").agg(F.array(F.min_by("a", "apart"), F.min_by("a", some), F.max_by("a", some)).alias("x"))
+        held = tried.select(F.explode(F.array_distinct("x")).alias("a"), "b")
+    held = durable(held.select("a", "b"))
+    one, two = (texts.select(F.col("node").alias(f"n{i}"), F.col("text").alias(f"t{i}")) for i in (1, 2))
+
+    @F.pandas_udf("boolean")
+    def same(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in parts:
+            yield pd.Series([alike(shingle_set(s, words), shingle_set(t, words), similarity) for s, t in zip(x, y, strict=True)], dtype=bool)
         trim()
 
-    own = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), wide("text").alias("fp")).withColumn("node", F.xxhash64("fp")))
-    nodes = durable(own.select("node", "fp").distinct())
-    count = nodes.count()
-    lead = int(min(LEAD, max(1, np.ceil(np.log2(max(1, count * len(masks(HALF, 2)) / CHUNK))))))
-    half = lambda i: F.shiftrightunsigned(F.element_at("fp", i // 2 + 1), 32 * (1 - i % 2)).bitwiseAND(0xFFFFFFFF)
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.shiftleft(half(i), 32).bitwiseOR(half((i + 1) % TABLES)).alias("v")) for i in range(TABLES)])
-    dealt = nodes.select("node", F.explode(tables).alias("x")).select("node", "x.t", "x.v")
-    flips = F.array(*[F.lit(int(m)).cast("long") for m in masks(lead, 2)])
-    dealt = dealt.select("node", "v", F.explode(F.transform(flips, lambda m: F.col("t").cast("long") * (1 << lead) + m.bitwiseXOR(F.shiftrightunsigned("v", 64 - lead)))).alias("part"))
+    return durable(held.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2")).where(same("t1", "t2")).select("a", "b"))
 
-    def links(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["v", "node"])
-        node = group["node"].to_numpy()
-        a, b = near_pairs(group["v"].to_numpy().view(np.uint64), int(key[0]) % (1 << lead), lead)
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, component_id), one row for each id and text: texts whose sets of shingles of `words` words have
+    this Jaccard similarity or more are linked. No pair is linked that has less.
+
+    Equal sets are one node. Nodes meet by keys of minima (see meeting_keys); at this similarity one 64-bit fingerprint
+    differs in about ten bits, out of reach of a ball. What meets passes a loose filter of 64 * BLOCKS SimHash bits, and
+    then the sets themselves are compared. Rounds of stars (each node of a key with the key's first) link most near copies
+    first, over verified pairs only; at the end all pairs of a key that are not yet in one component are compared, so
+    nothing is left out. Null and empty texts are alike. A component is named by one of its nodes, whatever the ids are.
+    """
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<node:bigint, size:int, fp:array<bigint>, keys:array<bigint>>")
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            sets = [shingle_set(x, words) for x in batch]
+            yield pd.DataFrame({
+                "node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64),
+                "size": pd.Series([len(h) for h in sets], dtype="int32"),
+                "fp": pd.Series([wide_fingerprint(h) for h in sets], dtype=object),
+                "keys": pd.Series([meeting_keys(h) for h in sets], dtype=object),
+            })
         trim()
-        return pd.DataFrame({"a": node[a], "b": node[b]})
 
-    pairs = durable(dealt.groupBy("part").applyInPandas(links, "a long, b long").distinct())
-    one, two = (nodes.select(F.col("node").alias(f"n{i}"), F.col("fp").alias(f"fp{i}")) for i in (1, 2))
-    held = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
-    apart = F.aggregate(F.zip_with("fp1", "fp2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    roots = components(held.where(apart <= far_at(similarity - 0.03)).select("a", "b"))
-    found = own.select("doc_id", "text_hash", "node").distinct().join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    own = durable(hashed.withColumn("k", known("text")).select("doc_id", "text_hash", "k.*"))
+    nodes = durable(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("text_hash").alias("of")))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = durable(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
+    keyed = durable(keyed.join(shared.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "node"))
+    used = nodes.join(keyed.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi")
+    texts = hashed.join(used.select("node", "of"), F.col("text_hash") == F.col("of")).groupBy("node").agg(F.min("text").alias("text"))
+    texts, used = durable(texts), durable(used.select("node", "size", "fp"))
+
+    links, whole = None, False
+    for turn in range(STARS + 1):
+        whole = whole or turn == STARS
+        # rows of the keys that still join different components
+        at = keyed.withColumn("root", F.col("node")) if links is None else keyed.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        ends = at.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("root", "node")).alias("lo"), F.max("root").alias("hi")).where("lo.root < hi")
+        at = durable(at.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "lo"))
+        if not at.head(1):
+            break
+        if whole:
+            other = at.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"))
+            pairs = at.join(other, (F.col("key") == F.col("k")) & (F.col("r") < F.col("root"))).select("a", F.col("node").alias("b")).distinct()
+        else:
+            pairs = at.where("root <> lo.root").select(F.col("lo.node").alias("a"), F.col("node").alias("b")).distinct()
+        new = verified(pairs, used, texts, words, similarity, few=not whole)
+        more = bool(new.head(1))
+        if more:
+            links = new if links is None else links.unionByName(new)
+            roots = components(links)
+        if whole:
+            break
+        whole = not more
+    found = own.select("doc_id", "text_hash", "node").distinct()
+    if links is None:
+        return found.select("doc_id", "text_hash", F.col("node").alias("component_id"))
+    found = found.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     return found.select("doc_id", "text_hash", F.coalesce("root", "node").alias("component_id"))
 
 

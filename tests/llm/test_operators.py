@@ -80,6 +80,40 @@ def test_simhash(spark, corpus, odd, none):
     assert simhash.distinct_documents(odd).count() <= 7
 
 
+def exact_classes(texts):
+    """Smallest index of each text's component under links of exact Jaccard similarity, and the number of links."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                links += 1
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    return label, links
+
+
+def similar_classes(spark, texts):
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(table(spark, list(enumerate(texts)))).collect()}
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(found[i], i)
+    return [least[found[i]] for i in range(len(texts))]
+
+
+def test_similar_equals_brute_force(spark):
+    rng, texts = random.Random(8), []
+    for size in [12, 40, 90, 300] * 15:
+        words = ["w%d" % rng.randrange(10**6) for _ in range(size)]
+        texts.append(" ".join(words))
+        for share in (0.70, 0.75, 0.78, 0.80, 0.82):
+            # the first words of the text, then others: shingles in common over all are about `share`
+            same = round(2 * share / (1 + share) * (size - 4)) + 4
+            texts.append(" ".join(words[:same] + ["v%d" % rng.randrange(10**6) for _ in range(size - same)]))
+    label, links = exact_classes(texts)
+    assert links > 60 and similar_classes(spark, texts) == label
+
+
 def test_ball_hashing_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, np.uint64)
