@@ -114,6 +114,24 @@ def test_similar_equals_brute_force(spark):
     assert links > 60 and similar_classes(spark, texts) == label
 
 
+def family(rng, count, every):
+    """Texts that share a passage (similarity under 0.75); each `every`-th has a near copy."""
+    passage, texts = ["p%d" % i for i in range(204)], []
+    for k in range(count):
+        own = ["o%d" % rng.randrange(10**8) for _ in range(40)]
+        texts.append(" ".join(passage + own))
+        if k % every == 0:
+            texts.append(" ".join(passage + own[:-5] + ["q%d" % rng.randrange(10**8) for _ in range(5)]))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_families_keep_true_pairs_apart_from_noise(spark):
+    texts = family(random.Random(9), 40, 4)
+    label, links = exact_classes(texts)
+    assert links == 10 and similar_classes(spark, texts) == label
+
+
 def test_ball_hashing_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, np.uint64)
