@@ -132,6 +132,12 @@ def test_families_keep_true_pairs_apart_from_noise(spark):
     assert links == 10 and similar_classes(spark, texts) == label
 
 
+def test_long_runs_are_compared_whole(spark):
+    texts = family(random.Random(10), 150, 1)
+    label, links = exact_classes(texts)
+    assert links == 150 and similar_classes(spark, texts) == label
+
+
 def test_ball_hashing_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, np.uint64)
