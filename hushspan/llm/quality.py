@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hushspan.llm.common import durable, small_batches, trim
 
-#: Rows that the linear scorer is fitted on, about; hashed features; rounds of EM and of gradient descent.
+#: Distinct texts that the linear scorer is fitted on, about; hashed features; rounds of EM and of gradient descent.
 SAMPLE, FEATURES, ROUNDS, STEPS = 6000, 1 << 14, 200, 300
 #: A document is kept if its score is at least this.
 KEEP = 0.5
@@ -183,15 +183,16 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[slots] @ values, -60, 60))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = STEPS) -> Scorer:
-    """Logistic regression on posterior labels; the classes weigh alike, and so does each copy of a row."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, float, float]], steps: int = STEPS) -> Scorer:
+    """Logistic regression on posterior labels, (slots, values, label, weight) a row; the classes weigh alike."""
     w, b = np.zeros(FEATURES), 0.0
     if not rows:
         return Scorer(w, 1.0)
     slots, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows])
-    weight = y / max(1.0, y.sum()) + (1 - y) / max(1.0, (1 - y).sum())
+    n = np.array([r[3] for r in rows])
+    weight = n * y / max(1.0, n @ y) + n * (1 - y) / max(1.0, n @ (1 - y))
     weight /= weight.sum()
     if min(y.sum(), (1 - y).sum()) < 1:  # one class only: keep or reject all
         return Scorer(w, 4.0 if y.sum() >= 1 else -4.0)
@@ -216,34 +217,35 @@ def observed(docs: DataFrame, name: str = "pattern") -> DataFrame:
 
 
 def train(docs: DataFrame) -> tuple[Scorer, dict[tuple[int, ...], float]]:
-    """The scorer and the posteriors. Votes are counted over all of docs; the scorer is fitted on about SAMPLE rows, those
-    of least hash of their text, half of them from each side where there are enough. No given label is read."""
-    order = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    seen = durable(observed(docs.select("text")).select("pattern", order.alias("place")))
-    counted = {tuple(r["pattern"]): r["n"] for r in seen.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    """The scorer and the posteriors. Votes are counted over all of docs; the scorer is fitted on about SAMPLE distinct
+    texts, those of least hash, half of them from each side where there are enough; null is one text, the empty one. A
+    text that n rows have weighs 1 + ln(n): counted fully, one text that much of a table repeats would be all that its
+    side learns from. No given label is read."""
+    docs = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    place = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    seen = durable(observed(docs).groupBy("hash", "pattern").agg(F.count("*").alias("n")))
+    counted = {tuple(r["pattern"]): (r["n"], r["texts"]) for r in seen.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()}
     if not counted:
         return Scorer(np.zeros(FEATURES), 1.0), {}
-    _, _, posterior = estimate(counted)
-    sides = {side: sum(n for p, n in counted.items() if (posterior[p] >= 0.5) == side) for side in (True, False)}
+    _, _, posterior = estimate({p: n for p, (n, _) in counted.items()})
+    sides = {side: sum(n for p, (_, n) in counted.items() if (posterior[p] >= 0.5) == side) for side in (True, False)}
     limit = {side: min(1.0, SAMPLE / 2 / max(1, n)) for side, n in sides.items()}
-    likely = docs.sparkSession.sparkContext.broadcast((posterior, limit))
+    good = F.array(*[F.array(*map(F.lit, p)) for p, q in posterior.items() if q >= 0.5]) if any(q >= 0.5 for q in posterior.values()) else F.array().cast("array<array<int>>")
+    chosen = seen.where(place < F.when(F.array_contains(good, F.col("pattern")), limit[True]).otherwise(limit[False])).select(F.col("hash").alias("own"), "n")
+    likely = docs.sparkSession.sparkContext.broadcast(posterior)
 
     def sample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        good, most = likely.value
         for part in parts:
             out = []
-            for text, place in zip(part["text"], part["place"], strict=True):
-                if place >= max(most.values()):
-                    continue
-                seen = statistics(text or "")
-                p = good[votes(seen[0])]
-                if place < most[p >= 0.5]:
-                    slots, values = features(*seen)
-                    out.append((slots, values, p))
-            yield pd.DataFrame(out, columns=["slots", "weights", "label"])
-
-    rows = docs.select("text", order.alias("place")).mapInPandas(sample, "slots array<long>, weights array<double>, label double").toPandas()
-    rows = sorted(((np.asarray(a), np.asarray(b), c) for a, b, c in rows.itertuples(index=False)), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))
+            for text, n in zip(part["text"], part["n"], strict=True):
+                seen = statistics(text)
+                slots, values = features(*seen)
+                out.append((slots, values, likely.value[votes(seen[0])], 1 + np.log(n)))
+            yield pd.DataFrame(out, columns=["slots", "weights", "label", "count"])
+
+    texts = docs.join(F.broadcast(chosen), F.col("hash") == F.col("own")).groupBy("hash").agg(F.min("text").alias("text"), F.min("n").alias("n"))
+    rows = texts.select("text", "n").mapInPandas(sample, "slots array<long>, weights array<double>, label double, count double").toPandas()
+    rows = sorted(((np.asarray(a), np.asarray(b), c, d) for a, b, c, d in rows.itertuples(index=False)), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes(), r[3]))
     return fit(rows), posterior
 
 

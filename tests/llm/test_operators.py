@@ -390,6 +390,21 @@ def test_quality(spark, odd, none):
     assert quality.classify(odd).count() == len(ODD) and quality.classify(none).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [None, "spam $$$ " * 40])
+def test_quality_learns_from_distinct_texts(spark, monkeypatch, repeated):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, f=quality.fit: fitted.append(rows) or f(rows))
+    monkeypatch.setattr(quality, "SAMPLE", 200)
+    rng, rows = random.Random(4), []
+    for i in range(1200):
+        text = ". ".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 14))).capitalize() for _ in range(rng.randint(3, 12))) + "."
+        rows.append((i, repeated if i % 3 == 0 else junk(rng, text) if i % 3 == 1 and i % 2 else text))
+    got = quality.classify(table(spark, rows)).collect()
+    assert len(fitted[0]) < 300 and sum(r[2] < 0.5 for r in fitted[0]) > 60
+    bad = [r["keep"] for r in got if r["doc_id"] % 3 == 1 and r["doc_id"] % 2]
+    assert sum(bad) < 0.05 * len(bad) and sum(r["keep"] for r in got if r["doc_id"] % 3 == 2) > 390
+
+
 def test_rollup(spark, tmp_path, odd, none):
     words = lambda d: d.withColumn("n_tokens", F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long"))
     total = rollup.Rollup(spark, f"file://{tmp_path}/r")
