@@ -77,10 +77,24 @@ def rules() -> list[tuple[str, list[str]]]:
     return [*TEXT_RULES, *((licence, [f"notice-{licence}"]) for licence in NAMES)]
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lower case, letters, digits and inner points only, one blank between words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?\n]+", " ")
-    return F.transform(F.split(plain, r"[.!?]+(?: |\n|$)|\n", -1), lambda s: F.btrim(s))
+#: Marks between words: the end of a sentence, a line's end, a semicolon.
+END, LINE, PART = "|", "/", ";"
+
+
+def marked(text: Column) -> Column:
+    """Lower case words of letters, digits and inner points with a blank before and after each; between them marks: END for
+    . ! ? and blank lines, LINE for other line ends, PART for semicolons."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9.!?;\n]+", " ")
+    lines = F.regexp_replace(F.regexp_replace(plain, r" ?\n(?: ?\n)+ ?", f" {END} "), r" ?\n ?", f" {LINE} ")
+    ends = F.regexp_replace(lines, r"[.!?]+(?= |;|$)", f" {END} ")
+    return F.regexp_replace(F.concat(F.lit(f" {END} "), F.regexp_replace(ends, ";", f" {PART} "), F.lit(f" {END} ")), " +", " ")
+
+
+def pattern(table: dict[str, str]) -> str:
+    """Known sentences between marks; a sentence may itself go over line ends and semicolons. Longer ones are tried first."""
+    between = f"(?: [{LINE}{PART}])* "
+    known = "|".join(between.join(w.replace(".", r"\.") for w in s.split()) for s in sorted(table, key=lambda s: (-len(s), s)))
+    return f"(?<=[{END}{LINE}{PART}] )({known})(?= [{END}{LINE}{PART}])"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -88,11 +102,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
     sentence_ids: identifiers of known sentences in order, comma-joined; licences: those whose rule's identifiers follow
     each other in it, in the order of the rules, comma-joined; both empty strings if there is none. A null text is
-    scanned as an empty one. One pass without a shuffle: rows stay where they are, whatever their length or number.
+    scanned as an empty one. Sentences end at . ! ? and blank lines; a known one is also found between line ends or
+    semicolons, and over them, so that wrapped notices count. One pass without a shuffle: rows stay where they are, whatever their length or number.
     """
     table, ruled = sentence_table(), rules()
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    found = F.transform(F.filter(sentences(F.col("text")), lambda s: s.isin(list(table))), lambda s: F.element_at(known, s))
+    plain = lambda s: F.regexp_replace(s, f" [{LINE}{PART}](?= )", "")
+    found = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(pattern(table)), 1), lambda s: F.element_at(known, plain(s)))
     every = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f",{','.join(ids)},").alias("ids")) for name, ids in ruled])
 
     def matched(row: Column) -> Column:

@@ -372,6 +372,23 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    wrap = lambda text, mark, width=72: "\n\n".join(textwrap.fill(x, width, initial_indent=mark, subsequent_indent=mark) for x in text.split("\n\n"))
+    texts = [wrap(t, m, w) for t in (mit, apache, gpl) for m in ("", " * ", "# ") for w in (40, 72, 10000)]
+    texts += ["/*\n" + wrap(apache, " * ") + "\n */\nint x;", "A heading\nReleased under the MIT\nLicense.", "Released under the MIT license\nand more words"]
+    got = [r["licences"] for r in licenses.scan(table(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == ["MIT"] * 9 + ["Apache-2.0"] * 9 + ["GPL-3.0-or-later"] * 9 + ["Apache-2.0", "MIT", "MIT"]
+
+
 def junk(rng, text):
     words = text.split()
     return rng.choice([" ".join(w + rng.choice(["$$$", "###", "%%%"]) for w in words), " ".join(w.upper() + "!!" for w in words[:3] * 20), " ".join(x for w in words[:8] for x in [w] * 12), " | ".join(words)])
