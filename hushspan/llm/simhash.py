@@ -130,16 +130,21 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ball_links(values: DataFrame, count: int, bits: int = 64, radius: int = 4) -> DataFrame:
-    """Links (a, b) between values (v: long holding `bits` bits) whose closure is that of all pairs within the radius."""
+    """Links (a, b) between values (v: long holding `bits` bits) whose closure is that of all pairs within the radius.
+
+    Values of the same leading bits travel as one row, about CHUNK / 2 / variants of them, to each group that their
+    variants reach, so that a value costs eight bytes a group and no row of its own.
+    """
     half = radius // 2
     variants = len(masks(bits, half))
-    lead = min(bits - 1, max(4, int(np.ceil(np.log2(max(1, count * variants / (CHUNK / 4)))))))
+    lead = min(bits - 1, max(4, int(np.ceil(np.log2(max(1, count * variants / (CHUNK / 2)))))))
     flips = [int(x) for x in masks(lead, half)]
     prefix = F.shiftrightunsigned("v", bits - lead) if bits == 64 else F.shiftright("v", bits - lead)
-    routed = values.select("v", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: m.cast("long").bitwiseXOR(prefix))).alias("part"))
+    together = values.groupBy(prefix.alias("lead")).agg(F.collect_list("v").alias("v"))
+    routed = together.select("v", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: m.cast("long").bitwiseXOR(F.col("lead")))).alias("part"))
 
     def links(key, group: pd.DataFrame) -> pd.DataFrame:
-        own = np.sort(group["v"].to_numpy().view(np.uint64))
+        own = np.sort(np.concatenate(group["v"].tolist()).view(np.uint64))
         a, b = forest(own, lead, int(key[0]), bits, half)
         return pd.DataFrame({"a": own[a].view(np.int64), "b": own[b].view(np.int64)})
 
@@ -165,8 +170,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 #: Of similar(): keys of a text and minima that make one; blocks of 64 bits of the prefilter, standard deviations that it
-#: leaves as margin, shingles from which on it is used; rounds of stars at most.
-KEYS, MINIMA, BLOCKS, MARGIN, MANY, STARS = 40, 4, 12, 6, 64, 3
+#: leaves as margin, shingles from which on it is used; rounds of stars at most; nodes of a key that are compared with each
+#: other as they are, and pairs a row up to which no round of stars comes first.
+KEYS, MINIMA, BLOCKS, MARGIN, MANY, STARS, SPLIT, CHEAP = 24, 4, 12, 6, 64, 3, 64, 8
 _rng = np.random.default_rng(42)
 _XOR, _ODD = (_rng.integers(0, 1 << 64, (KEYS * MINIMA, 1), np.uint64) for _ in range(2))
 _ODD = _ODD | np.uint64(1)
@@ -190,7 +196,7 @@ def wide_fingerprint(h: np.ndarray) -> list[int]:
 
 def meeting_keys(h: np.ndarray) -> list[int]:
     """KEYS keys of a set, each of MINIMA minima of its hashes: two sets share one with the power MINIMA of their similarity.
-    At 0.8 a pair shares none of 40 with a probability of 7e-10. An empty set has none."""
+    At 0.8 a pair shares none of 24 with a probability of 3e-6, and none or one with 6e-5. An empty set has none."""
     if not len(h):
         return []
     least = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
@@ -215,10 +221,10 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, few: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, few: bool = False) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sets of shingles have the similarity. The bits only spare pairs the texts;
     if `few`, at most three pairs of each b are tried, among them that of fewest differing bits."""
-    one, two = (nodes.select(F.col("node").alias(f"n{i}"), F.col("fp").alias(f"fp{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
+    one, two = (texts.select(F.col("node").alias(f"n{i}"), F.col("wide").alias(f"fp{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
     held = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
     apart = F.aggregate(F.zip_with("fp1", "fp2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     least, most = F.least("s1", "s2"), F.greatest("s1", "s2")
@@ -241,76 +247,120 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
     return durable(held.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2")).where(same("t1", "t2")).select("a", "b"))
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_hash, component_id), one row for each id and text: texts whose sets of shingles of `words` words have
-    this Jaccard similarity or more are linked. No pair is linked that has less.
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the ball hashing of their 64-bit fingerprints links: a forest over each class."""
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    equal = nodes.join(prints.where("least < most").select(F.col("fp").alias("f"), "least"), F.col("fp") == F.col("f")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = ball_links(prints.select(F.col("fp").alias("v")), prints.count())
+    one, two = (prints.select(F.col("fp").alias(f"f{i}"), F.col("least").alias(f"n{i}")) for i in (1, 2))
+    near = links.join(one, F.col("a") == F.col("f1")).join(two, F.col("b") == F.col("f2")).select(F.col("n1").alias("a"), F.col("n2").alias("b"))
+    return durable(equal.unionByName(near))
 
-    Equal sets are one node. Nodes meet by keys of minima (see meeting_keys); at this similarity one 64-bit fingerprint
-    differs in about ten bits, out of reach of a ball. What meets passes a loose filter of 64 * BLOCKS SimHash bits, and
-    then the sets themselves are compared. Rounds of stars (each node of a key with the key's first) link most near copies
-    first, over verified pairs only; at the end all pairs of a key that are not yet in one component are compared, so
-    nothing is left out. Null and empty texts are alike. A component is named by one of its nodes, whatever the ids are.
-    """
+
+def linked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, row, twin, component_id) of docs (doc_id, text, row, twin), one row for each row and twin (two hashes that
+    tell rows apart); see similar()."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<node:bigint, size:int, fp:array<bigint>, keys:array<bigint>>")
+    @F.pandas_udf("struct<node:bigint, size:int, fp:bigint, keys:array<bigint>>")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             sets = [shingle_set(x, words) for x in batch]
             yield pd.DataFrame({
                 "node": np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64),
                 "size": pd.Series([len(h) for h in sets], dtype="int32"),
-                "fp": pd.Series([wide_fingerprint(h) for h in sets], dtype=object),
+                "fp": pd.Series([majority(h) for h in sets], dtype="int64"),
                 "keys": pd.Series([meeting_keys(h) for h in sets], dtype=object),
             })
         trim()
 
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    own = durable(hashed.withColumn("k", known("text")).select("doc_id", "text_hash", "k.*"))
-    nodes = durable(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("text_hash").alias("of")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = durable(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    keyed = durable(keyed.join(shared.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "node"))
-    used = nodes.join(keyed.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi")
-    texts = hashed.join(used.select("node", "of"), F.col("text_hash") == F.col("of")).groupBy("node").agg(F.min("text").alias("text"))
-    texts, used = durable(texts), durable(used.select("node", "size", "fp"))
-
-    links, whole = None, False
+    @F.pandas_udf("array<bigint>")
+    def wide(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([wide_fingerprint(shingle_set(x, words)) for x in batch], dtype=object)
+        trim()
+
+    own = durable(docs.withColumn("k", known("text")).select("doc_id", "row", "twin", "k.*"))
+    nodes = durable(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("row", "twin")).alias("of")))
+    ball = ball_pairs(nodes)
+    # dealt out by key once, for both the counting and the join
+    keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    keyed = durable(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node"))
+    met = keyed.select("node").unionByName(ball.select(F.col("a").alias("node"))).unionByName(ball.select(F.col("b").alias("node"))).distinct()
+    used = durable(nodes.join(met.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left_semi").select("node", "size", "of.row", "of.twin"))
+    texts = docs.select("text", F.col("row").alias("r"), F.col("twin").alias("t")).join(used, (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t")))
+    texts = durable(texts.groupBy("node").agg(F.first("size").alias("size"), F.min("text").alias("text")).withColumn("wide", wide("text")))
+
+    links = verified(ball, texts, words, similarity)
+    roots, whole = components(links), False
     for turn in range(STARS + 1):
-        whole = whole or turn == STARS
         # rows of the keys that still join different components
-        at = keyed.withColumn("root", F.col("node")) if links is None else keyed.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        ends = at.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("root", "node")).alias("lo"), F.max("root").alias("hi")).where("lo.root < hi")
-        at = durable(at.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "lo"))
-        if not at.head(1):
+        at = keyed.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        ends = at.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("root", "node")).alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo.root < hi")
+        at = durable(at.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "lo", "n"))
+        pairs, rows = at.agg(F.sum("n"), F.count("*")).first()
+        if not rows:
             break
+        whole = whole or turn == STARS or pairs <= CHEAP * rows
         if whole:
-            other = at.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"))
-            pairs = at.join(other, (F.col("key") == F.col("k")) & (F.col("r") < F.col("root"))).select("a", F.col("node").alias("b")).distinct()
+            pairs = rivals(at.where(F.col("n") <= SPLIT).select("key", "node", "root").unionByName(split(at.where(F.col("n") > SPLIT).select("key", "node", "root"), nodes)))
         else:
             pairs = at.where("root <> lo.root").select(F.col("lo.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = verified(pairs, used, texts, words, similarity, few=not whole)
-        more = bool(new.head(1))
-        if more:
-            links = new if links is None else links.unionByName(new)
+        new = verified(pairs, texts, words, similarity, few=not whole)
+        gained = new.count()
+        if gained:
+            links = links.unionByName(new)
             roots = components(links)
         if whole:
             break
-        whole = not more
-    found = own.select("doc_id", "text_hash", "node").distinct()
-    if links is None:
-        return found.select("doc_id", "text_hash", F.col("node").alias("component_id"))
+        whole = gained < rows / 10  # what is left shares passages rather than texts
+    found = own.select("doc_id", "row", "twin", "node").distinct()
     found = found.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    return found.select("doc_id", "text_hash", F.coalesce("root", "node").alias("component_id"))
+    return found.select("doc_id", "row", "twin", F.coalesce("root", "node").alias("component_id"))
+
+
+def split(at: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, root) of long keys, each divided by every other key of its nodes: two nodes that share this key and any
+    other one still meet, strangers of a common passage rarely do. Keys of one component only are left out."""
+    keys = nodes.select(F.col("node").alias("owner"), "keys")
+    more = at.join(keys, F.col("node") == F.col("owner")).select("key", "node", "root", F.explode("keys").alias("other")).where("key <> other")
+    more = more.select(F.xxhash64("key", "other").alias("key"), "node", "root").repartition("key")
+    ends = more.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    return more.join(ends, F.col("key") == F.col("k")).select("key", "node", "root")
+
+
+def rivals(at: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of a key that lie in different components."""
+    other = at.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"))
+    return at.join(other, (F.col("key") == F.col("k")) & (F.col("r") < F.col("root"))).select("a", F.col("node").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, component_id), one row for each id and text: texts whose sets of shingles of `words` words have
+    this Jaccard similarity or more are linked. No pair is linked that has less.
+
+    Equal sets are one node. First ball hashing links nodes whose 64-bit fingerprints differ in four bits or fewer; the
+    forest that it gives is verified on the sets themselves. At this similarity a fingerprint differs in about ten bits,
+    out of reach of any ball that can be emitted, so nodes meet by keys of minima too (see meeting_keys). What meets passes
+    a loose filter of 64 * BLOCKS SimHash bits before the sets are compared. Where keys hold many pairs, rounds of stars
+    (each node of a key with the key's first) link most near copies before; at the end all pairs of a key that are not yet
+    in one component are compared, keys of over SPLIT nodes divided by a second key. Null and empty texts are alike. A
+    component is named by one of its nodes, whatever the ids are. An empty table gives an empty table.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"), F.lit(0).cast("long").alias("twin"))
+    return linked(rows, words, similarity).select("doc_id", F.col("row").alias("text_hash"), "component_id")
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of docs for each group of similar(), that of the smallest doc_id; among rows of that id the least by text
-    and then the other columns. Rows whose ids are null or repeated are told apart by their texts: they form groups like
-    others, and one with a null id stays only if its group has no id."""
-    found = durable(similar(docs.select("doc_id", "text"), words, similarity))
-    best = found.groupBy(F.col("component_id").alias("group")).agg(F.min("doc_id").alias("best"))
-    first = found.join(best, (F.col("component_id") == F.col("group")) & F.col("doc_id").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_id"), "text_hash", "group")
-    own = docs.select(F.struct("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"), F.xxhash64("text").alias("_hash"))
-    rows = own.join(first, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")))
-    return rows.groupBy("group").agg(F.min("row").alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
+    """One row of docs for each group of similar(), that of the smallest doc_id; among rows of that id the one of least
+    hash. Rows whose ids are null or repeated are told apart by all of their columns: they form groups like others, and
+    one with a null id stays only if its group has no id. Of rows alike in all columns one stays."""
+    every = [F.col(c) for c in docs.columns]
+    own = docs.select(F.struct(*every).alias("whole"), F.xxhash64(*every).alias("row"), F.xxhash64(F.lit(7), *every).alias("twin"))
+    rows = own.select(F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").alias("text"), "row", "twin")
+    found = linked(rows, words, similarity)
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "twin")).alias("best"))
+    best = durable(best.select(F.col("best.row").alias("r"), F.col("best.twin").alias("t")))
+    kept = own.join(best, (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t"))).groupBy("row", "twin").agg(F.first("whole").alias("whole"))
+    return kept.select(*[F.col(f"whole.{c}").alias(c) for c in docs.columns])
