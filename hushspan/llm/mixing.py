@@ -9,23 +9,47 @@ as near to the target as whole documents allow.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushspan.llm.common import WORD, durable
 
-#: Relative error of a source's words at which Newton stops, its steps at most, and levels of the search for the shift.
-EXACT, STEPS, LEVELS, BINS = 1e-7, 60, 4, 256
-#: Documents added singly to a source, at most, to fill what is left.
-FILLS = 5
+#: Relative error of a source's words at which Newton stops, its steps at most, those of one job, and levels of the search
+#: for the shift with the bins of each.
+EXACT, STEPS, CHAIN, LEVELS, BINS = 1e-7, 60, 3, 2, 1 << 16
+#: Sizes of which documents are added singly to a source, at most, to fill what is left, and documents of each; copies of
+#: one row that a task unfolds at once.
+FILLS, EACH, UNFOLD = 5, 64, 100_000
 CAP = 2.0
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, u): words of each document, and its place in a fixed random order, 0 to 1."""
+def keys(apart: Sequence[str]) -> list[Column]:
+    """Two hashes of the columns that tell rows apart."""
+    own = [F.col(c) for c in apart]
+    return [F.xxhash64(*own).alias("key1"), F.xxhash64(F.lit(11), *own).alias("key2")]
+
+
+def repeated(df: DataFrame, times: str, index: str, spread: list[str]) -> DataFrame:
+    """Each row of df as often as `times` says, with its index from 1. Rows that come very often are cut into blocks, which
+    are dealt out over tasks, before they are unfolded."""
+    some = df.where(F.col(times) <= UNFOLD).withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    blocks = df.where(F.col(times) > UNFOLD).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / UNFOLD))))
+    blocks = blocks.repartition(*spread, "_block")
+    first, last = F.col("_block") * UNFOLD + 1, F.least(F.col(times), (F.col("_block") + 1) * UNFOLD)
+    return some.unionByName(blocks.withColumn(index, F.explode(F.sequence(first, last))).drop("_block"))
+
+
+def sizes(docs: DataFrame, apart: Sequence[str]) -> DataFrame:
+    """(doc_id, source, size, key1, key2, u): words of each document, and its place in a fixed random order, 0 to 1. Rows
+    that are alike in all columns of `apart` are counted before they are shuffled and numbered after, so that each has a
+    place of its own."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), u.alias("u"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), *keys(apart))
+    same = rows.groupBy("key1", "key2", "doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    u = F.pmod(F.xxhash64("key1", "key2", "turn"), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return repeated(same, "rows", "turn", ["key1", "key2"]).select("doc_id", "source", "size", "key1", "key2", u.alias("u"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
@@ -61,7 +85,7 @@ def tilts(counts: DataFrame, goal: DataFrame) -> DataFrame:
     """
     state = goal.where("source_size > 0").withColumn("scale", F.col("source_size") / F.col("docs"))
     state = durable(state.selectExpr("source AS s", "target", "scale", "CAST(0 AS double) AS lam", "CAST(-1e6 AS double) AS lo", "ln(2D) * scale AS hi", "CAST(1 AS double) AS err"))
-    for _ in range(STEPS):
+    for turn in range(STEPS):
         z = F.col("size") / F.col("scale")
         e = F.exp(F.least(F.col("lam") * z, F.lit(1.0)))
         rate, words = F.least(F.lit(CAP), e), F.col("n") * F.col("size")
@@ -75,40 +99,55 @@ def tilts(counts: DataFrame, goal: DataFrame) -> DataFrame:
         # outside of the bracket: halve it, or double away from zero while it is open below
         other = F.when(lo <= -1e6, F.least(F.col("lam") * 2, F.lit(-1.0))).otherwise((lo + hi) / 2)
         lam = F.when(done, F.col("lam")).when(inside, step).otherwise(other)
-        state = durable(new.select("s", "target", "scale", lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), F.when(done | (hi - lo < 1e-12), 0.0).otherwise(1.0).alias("err")))
+        state = new.select("s", "target", "scale", lam.alias("lam"), lo.alias("lo"), hi.alias("hi"), F.when(done | (hi - lo < 1e-12), 0.0).otherwise(1.0).alias("err"))
+        if turn % CHAIN < CHAIN - 1 and turn < STEPS - 1:
+            continue
+        state = durable(state)
         if not state.where("err > 0").head(1):
             break
     return state.select("s", "target", "scale", "lam")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for every row of docs (doc_id, source, text).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, apart: Sequence[str] = ("doc_id", "source", "text")) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken, key1, key2) for every row of docs (doc_id, source, text).
 
     size: words of the text, 0 if it is null; taken = copies * size, at most 2 * size. A null source is a source, last in
-    order. Documents of size 0 have rate 1 and one copy, which adds no word. A source without words has target 0. Rows of
-    one doc_id and source share their place in the random order. Reruns agree: sums that decide are decimal. An empty
-    table gives an empty table; other columns are ignored.
+    order. Documents of size 0 have rate 1 and one copy, which adds no word. A source without words has target 0. Null and
+    repeated ids are rows like others: each row has its own place in the random order, rows alike in all columns of `apart`
+    too. key1, key2: hashes of these columns (see keys()). Reruns agree: sums that decide are decimal, places are hashes. An
+    empty table gives an empty table; other columns are ignored.
+
+    The rows are written once, without texts; what is decided is one row a source, joined to them.
     """
-    own = durable(sizes(docs))
+    own = durable(sizes(docs, apart))
     counts = durable(own.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
     goal = durable(targets(sources, weights, share).join(sources.select(F.col("source").alias("k"), "docs"), F.col("source").eqNullSafe(F.col("k"))).drop("k"))
     tilt = tilts(counts.where("size > 0"), goal)
-    # a small table, one row a source: the dual's solution by source
+    # one row a source: the dual's solution by source
     plan = durable(goal.join(tilt.select("s", "scale", "lam"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("src"), "source_size", "target", "scale", "lam"))
-    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(CAP), F.exp(F.least(F.round(F.col("lam"), 9) * F.col("size") / F.col("scale"), F.lit(1.0)))))
-    rated = durable(own.join(plan, F.col("source").eqNullSafe(F.col("src"))).select("doc_id", "source", "size", "u", "source_size", "target", rate.alias("rate")))
+    rated = own.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("rate", rate())
     # copies = floor(rate + u + shift) within 0..2: c copies are reached where the shift is at least c - rate - u
-    at = durable(rated.where("size > 0").select("source", "size", F.explode(F.array(F.lit(1.0), F.lit(2.0))).alias("c"), "rate", "u").select("source", "size", (F.col("c") - F.col("rate") - F.col("u")).alias("place")))
+    at = rated.where("size > 0").select("source", "size", F.explode(F.array(F.lit(1.0) - F.col("rate") - F.col("u"), F.lit(2.0) - F.col("rate") - F.col("u"))).alias("place"))
     shift = shifts(at, plan.where("source_size > 0"))
+    plan = durable(plan.join(shift, F.col("src").eqNullSafe(F.col("k")), "left").drop("k"))
+    rated = own.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("rate", rate()).withColumn("copies", reached())
+    extra = filled(rated, goal)
+    out = rated.join(extra, F.col("source").eqNullSafe(F.col("k")), "left")
+    chosen = F.exists("picks", lambda p: (p["size"] == F.col("size")) & (p["u"] == F.col("u")) & (p["key1"] == F.col("key1")))
+    out = out.withColumn("copies", F.col("copies") + F.coalesce(chosen, F.lit(False)).cast("long"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key1", "key2")
+
+
+def rate() -> Column:
+    return F.when(F.col("size") == 0, 1.0).otherwise(F.least(F.lit(CAP), F.exp(F.least(F.round(F.col("lam"), 9) * F.col("size") / F.col("scale"), F.lit(1.0)))))
+
+
+def reached() -> Column:
+    """Copies at the source's shift."""
     fit = F.coalesce("shift", F.lit(0.0))
-    reached = F.greatest(F.lit(1.0) - F.col("rate") - F.col("u"), F.lit(-9.0)) < fit
-    twice = F.lit(2.0) - F.col("rate") - F.col("u") < fit
-    copies = F.when(F.col("size") == 0, 1).otherwise(reached.cast("int") + twice.cast("int"))
-    out = durable(rated.join(shift, F.col("source").eqNullSafe(F.col("k")), "left").select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies")))
-    for _ in range(FILLS):
-        out = filled(out)
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    once, twice = (F.lit(c) - F.col("rate") - F.col("u") < fit for c in (1.0, 2.0))
+    return F.when(F.col("size") == 0, 1).otherwise(once.cast("int") + twice.cast("int")).cast("long")
 
 
 def shifts(at: DataFrame, plan: DataFrame) -> DataFrame:
@@ -129,12 +168,29 @@ def shifts(at: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("k", F.col("lo").alias("shift"))
 
 
-def filled(rows: DataFrame) -> DataFrame:
-    """One more copy, in each source that lacks words, of the largest document that still fits (ties to the smaller id)."""
-    lack = rows.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).select(F.col("source").alias("k"), (F.col("target") - F.col("got")).alias("lack"))
-    fits = rows.join(lack, F.col("source").eqNullSafe(F.col("k"))).where((F.col("copies") < 2) & (F.col("size") > 0) & (F.col("size") <= F.col("lack")))
-    best = fits.groupBy("k").agg(F.max(F.struct("size", (-F.col("doc_id")).alias("neg"))).alias("b")).select("k", F.col("b.size").alias("b_size"), (-F.col("b.neg")).alias("b_id"))
-    # one document a source; rows that repeat its id and size go with it
-    chosen = F.col("b_id").isNotNull() & F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("size") == F.col("b_size")) & (F.col("copies") < 2)
-    joined = rows.join(best, F.col("source").eqNullSafe(F.col("k")), "left")
-    return durable(joined.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("copies") + F.when(chosen, 1).otherwise(0)).alias("copies")))
+def filled(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """(k, picks): for each source that lacks words the documents that get one more copy: of the largest size that still
+    fits as many as fit (EACH at most), then of the largest smaller one, for FILLS sizes; of documents of one size the
+    first in the random order."""
+    spare = F.sum((F.col("copies") < 2).cast("long"))
+    sums = durable(rows.where("size > 0").groupBy("source", "size").agg(F.sum("copies").alias("copies"), spare.alias("spare")))
+    got = sums.groupBy(F.col("source").alias("k")).agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
+    lack = goal.join(got, F.col("source").eqNullSafe(F.col("k"))).select("k", (F.col("target") - F.col("got")).alias("lack"), F.lit(1 << 62).alias("under"))
+    spare = sums.where("spare > 0").select("source", "size", "spare")
+    picked = None
+    for _ in range(FILLS):
+        fits = spare.join(lack, F.col("source").eqNullSafe(F.col("k"))).where((F.col("size") <= F.col("lack")) & (F.col("size") < F.col("under")))
+        best = fits.groupBy("k").agg(F.max(F.struct("size", "spare")).alias("b"), F.first("lack").alias("lack"))
+        number = F.least(F.col("b.spare"), F.floor(F.col("lack") / F.col("b.size")), F.lit(EACH))
+        best = durable(best.select("k", F.col("b.size").alias("size"), number.alias("number"), "lack"))
+        if not best.head(1):
+            break
+        picked = best if picked is None else picked.unionByName(best)
+        lack = best.select("k", (F.col("lack") - F.col("size") * F.col("number")).alias("lack"), F.col("size").alias("under"))
+    if picked is None:
+        return lack.where("false").select("k", F.lit(None).cast("array<struct<size:bigint,u:double,key1:bigint>>").alias("picks"))
+    wanted = picked.select(F.col("k").alias("of"), F.col("size").alias("wanted"), "number")
+    some = rows.where("copies < 2").join(wanted, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("wanted"))).select("of", "size", "u", "key1", "number")
+    place = F.row_number().over(Window.partitionBy("of", "size").orderBy("u", "key1"))
+    some = some.withColumn("place", place).where(F.col("place") <= EACH).where("place <= number")
+    return durable(some.groupBy(F.col("of").alias("k")).agg(F.collect_list(F.struct("size", "u", "key1")).alias("picks")))

@@ -207,6 +207,19 @@ def test_mixing(spark, corpus, odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNFOLD", 7)
+    same = [(None, "five words in this text")] * 100
+    rows = same + [(7, " ".join(["w"] * (1 + k % 9))) for k in range(100)] + [(k, "a b c") for k in range(50)]
+    docs = spark.createDataFrame([(i, t, "a" if k < 100 else "b") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_multi_50k.tiktoken")
