@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushspan.llm import bpe, mixing, pii, quality, simhash
-from hushspan.llm.common import shared_dir
+from hushspan.llm.common import durable, shared_dir
 from hushspan.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,11 +43,16 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     own = columns(docs)
-    taken = mixing.mix(own).select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.col("size"), "copies").distinct()
-    same = own["doc_id"].eqNullSafe(taken["id"]) & own["source"].eqNullSafe(taken["s"])
-    sized = own.withColumn("words", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-    joined = sized.join(taken, same & (sized["words"] == taken["size"])).where("copies > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    taken = mixing.mix(own, apart=COLUMNS).groupBy("key1", "key2").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    taken = durable(taken.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), "copies", "rows"))
+    joined = own.withColumns(dict(zip(("key1", "key2"), mixing.keys(COLUMNS), strict=True))).join(taken, (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")))
+    once = joined.where("rows = 1")
+    if not taken.where("rows > 1").head(1):
+        return once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    # rows that are alike in all columns: one of them, as often as the mix takes them together
+    same = joined.where("rows > 1").groupBy("key1", "key2").agg(F.first(F.struct(*COLUMNS)).alias("row"), F.first("copies").alias("copies"))
+    every = once.select(*COLUMNS, "key1", "key2", "copies").unionByName(same.select("row.*", "key1", "key2", "copies"))
+    return mixing.repeated(every, "copies", "copy", ["key1", "key2"]).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
