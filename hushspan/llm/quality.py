@@ -44,6 +44,8 @@ def traits(word: str) -> tuple[int, int, int, int]:
 
 #: Marks that words end in; what else a word may hold is looked at character by character.
 TAIL = ".,;:!?$%&#*|\"')]}"
+#: Longer words are read whole too, but not remembered.
+LONG = 64
 _slots: dict[tuple[str, str], int] = {}
 
 
@@ -84,9 +86,9 @@ def statistics(text: str, shaped: bool = True) -> tuple[dict[str, float], Counte
             if tail:
                 endings[1 if len(tail) > 1 else 3 if tail in ".?!:;," else 0] += k
             if shaped:
-                shapes[plain_slot(kind, tail) if kind is not core else shape(w)] += k
+                shapes[plain_slot(kind, tail) if kind is not core and len(tail) <= LONG else shape(w)] += k
         else:
-            a, u, e, slot = traits(w)
+            a, u, e, slot = traits(w) if len(w) <= LONG else traits.__wrapped__(w)
             letters += a * k
             upper += u * k
             endings[e] += k
@@ -123,7 +125,7 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
 
 def shape(word: str) -> int:
     """Slot of a word's shape: classes of its characters, runs shortened; the letters themselves don't count."""
-    s = re.sub(r"\d+", "9", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
+    s = re.sub(r"\d+", "9", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
     s = re.sub(r"a+", "a", re.sub(r"A+", "A", s))
     return hash_slot("shape " + re.sub(r"(\W)\1+", r"\1\1", s))
 
