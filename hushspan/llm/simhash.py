@@ -258,8 +258,8 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, row, twin, component_id) of docs (doc_id, text, row, twin), one row for each row and twin (two hashes that
-    tell rows apart); see similar()."""
+    """(doc_id, row, twin, rows, component_id) of docs (doc_id, text, row, twin), one row for each row and twin (two hashes
+    that tell rows apart), with the number of rows that have them; see similar()."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<node:bigint, size:int, fp:bigint, keys:array<bigint>>")
@@ -289,7 +289,8 @@ def linked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     keyed = durable(keyed.join(shared, F.col("key") == F.col("k")).select("key", "node"))
     met = keyed.select("node").unionByName(ball.select(F.col("a").alias("node"))).unionByName(ball.select(F.col("b").alias("node"))).distinct()
     used = durable(nodes.join(met.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left_semi").select("node", "size", "of.row", "of.twin"))
-    texts = docs.select("text", F.col("row").alias("r"), F.col("twin").alias("t")).join(used, (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t")))
+    # the small side is hashed, so that texts need no sort
+    texts = docs.select("text", F.col("row").alias("r"), F.col("twin").alias("t")).join(used.hint("shuffle_hash"), (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t")))
     texts = durable(texts.groupBy("node").agg(F.first("size").alias("size"), F.min("text").alias("text")).withColumn("wide", wide("text")))
 
     links = verified(ball, texts, words, similarity)
@@ -315,9 +316,9 @@ def linked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         if whole:
             break
         whole = gained < rows / 10  # what is left shares passages rather than texts
-    found = own.select("doc_id", "row", "twin", "node").distinct()
+    found = own.groupBy("doc_id", "row", "twin", "node").agg(F.count("*").alias("rows"))
     found = found.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    return found.select("doc_id", "row", "twin", F.coalesce("root", "node").alias("component_id"))
+    return found.select("doc_id", "row", "twin", "rows", F.coalesce("root", "node").alias("component_id"))
 
 
 def split(at: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -360,7 +361,10 @@ def distinct_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     own = docs.select(F.struct(*every).alias("whole"), F.xxhash64(*every).alias("row"), F.xxhash64(F.lit(7), *every).alias("twin"))
     rows = own.select(F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").alias("text"), "row", "twin")
     found = linked(rows, words, similarity)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "twin")).alias("best"))
-    best = durable(best.select(F.col("best.row").alias("r"), F.col("best.twin").alias("t")))
-    kept = own.join(best, (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t"))).groupBy("row", "twin").agg(F.first("whole").alias("whole"))
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "twin", "rows")).alias("best"))
+    best = durable(best.select(F.col("best.row").alias("r"), F.col("best.twin").alias("t"), F.col("best.rows").alias("rows")))
+    joined = own.join(best.hint("shuffle_hash"), (F.col("row") == F.col("r")) & (F.col("twin") == F.col("t")))
+    kept = joined.where("rows = 1").select("whole")
+    if best.where("rows > 1").head(1):
+        kept = kept.unionByName(joined.where("rows > 1").groupBy("row", "twin").agg(F.first("whole").alias("whole")).select("whole"))
     return kept.select(*[F.col(f"whole.{c}").alias(c) for c in docs.columns])
