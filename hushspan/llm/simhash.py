@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 #: Of similar(): keys of a text and minima that make one; blocks of 64 bits of the prefilter, standard deviations that it
 #: leaves as margin, shingles from which on it is used; rounds of stars at most; nodes of a key that are compared with each
-#: other as they are, and pairs a row up to which no round of stars comes first.
+#: other as they are, and nodes of a row's key, on average, up to which no round of stars comes first.
 KEYS, MINIMA, BLOCKS, MARGIN, MANY, STARS, SPLIT, CHEAP = 24, 4, 12, 6, 64, 3, 64, 8
 _rng = np.random.default_rng(42)
 _XOR, _ODD = (_rng.integers(0, 1 << 64, (KEYS * MINIMA, 1), np.uint64) for _ in range(2))
@@ -196,7 +196,7 @@ def wide_fingerprint(h: np.ndarray) -> list[int]:
 
 def meeting_keys(h: np.ndarray) -> list[int]:
     """KEYS keys of a set, each of MINIMA minima of its hashes: two sets share one with the power MINIMA of their similarity.
-    At 0.8 a pair shares none of 24 with a probability of 3e-6, and none or one with 6e-5. An empty set has none."""
+    At 0.8 a pair shares none of 24 with a probability of 3e-6. An empty set has none."""
     if not len(h):
         return []
     least = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
@@ -221,20 +221,14 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, few: bool = False) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose sets of shingles have the similarity. The bits only spare pairs the texts;
-    if `few`, at most three pairs of each b are tried, among them that of fewest differing bits."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes those whose sets of shingles have the similarity. The bits only spare pairs the texts."""
     one, two = (texts.select(F.col("node").alias(f"n{i}"), F.col("wide").alias(f"fp{i}"), F.col("size").alias(f"s{i}")) for i in (1, 2))
     held = pairs.join(one, F.col("a") == F.col("n1")).join(two, F.col("b") == F.col("n2"))
     apart = F.aggregate(F.zip_with("fp1", "fp2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     least, most = F.least("s1", "s2"), F.greatest("s1", "s2")
     held = held.where(least >= most * similarity - 1e-9).select("a", "b", apart.alias("apart"), least.alias("least"))
     held = held.where((F.col("least") < MANY) | (F.col("apart") <= far_at(similarity)))
-    if few:
-        # aggregates instead of a window: they are combined before the shuffle
-        some = F.xxhash64("a", "b")
-        tried = held.groupBy("b").agg(F.array(F.min_by("a", "apart"), F.min_by("a", some), F.max_by("a", some)).alias("x"))
-        held = tried.select(F.explode(F.array_distinct("x")).alias("a"), "b")
     held = durable(held.select("a", "b"))
     one, two = (texts.select(F.col("node").alias(f"n{i}"), F.col("text").alias(f"t{i}")) for i in (1, 2))
 
@@ -298,17 +292,20 @@ def linked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     for turn in range(STARS + 1):
         # rows of the keys that still join different components
         at = keyed.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        ends = at.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("root", "node")).alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo.root < hi")
-        at = durable(at.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "lo", "n"))
+        ends = at.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        at = durable(at.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "n"))
         pairs, rows = at.agg(F.sum("n"), F.count("*")).first()
         if not rows:
             break
         whole = whole or turn == STARS or pairs <= CHEAP * rows
         if whole:
-            pairs = rivals(at.where(F.col("n") <= SPLIT).select("key", "node", "root").unionByName(split(at.where(F.col("n") > SPLIT).select("key", "node", "root"), nodes)))
+            long = at.where(F.col("n") > SPLIT).select("node", "root").distinct()
+            pairs = rivals(at.where(F.col("n") <= SPLIT).select("key", "node", "root"))
+            if long.head(1):
+                pairs = pairs.unionByName(rivals(rare(long, texts, words, similarity), similarity)).distinct()
         else:
-            pairs = at.where("root <> lo.root").select(F.col("lo.node").alias("a"), F.col("node").alias("b")).distinct()
-        new = verified(pairs, texts, words, similarity, few=not whole)
+            pairs = stars(at)
+        new = verified(pairs, texts, words, similarity)
         gained = new.count()
         if gained:
             links = links.unionByName(new)
@@ -321,20 +318,47 @@ def linked(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return found.select("doc_id", "row", "twin", "rows", F.coalesce("root", "node").alias("component_id"))
 
 
-def split(at: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, root) of long keys, each divided by every other key of its nodes: two nodes that share this key and any
-    other one still meet, strangers of a common passage rarely do. Keys of one component only are left out."""
-    keys = nodes.select(F.col("node").alias("owner"), "keys")
-    more = at.join(keys, F.col("node") == F.col("owner")).select("key", "node", "root", F.explode("keys").alias("other")).where("key <> other")
-    more = more.select(F.xxhash64("key", "other").alias("key"), "node", "root").repartition("key")
-    ends = more.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    return more.join(ends, F.col("key") == F.col("k")).select("key", "node", "root")
+def stars(at: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the hubs of its keys in other components, two hubs at most. The hub of a key is the
+    node whose keys are shared most: in a family of copies that is the text which they all come from."""
+    weight = at.groupBy(F.col("node").alias("w")).agg(F.sum("n").alias("weight"))
+    own = at.join(weight, F.col("node") == F.col("w")).select("key", "node", "root", "weight")
+    hubs = own.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", "node", "root")).alias("hub"))
+    met = own.join(hubs, F.col("key") == F.col("k")).where("root <> hub.root").groupBy("hub.node", own["node"].alias("b")).agg(F.count("*").alias("n"), F.first("hub.weight").alias("weight"))
+    met = met.groupBy("b").agg(F.max_by("node", F.struct("n", "node")).alias("near"), F.max_by("node", F.struct("weight", "node")).alias("great"))
+    return met.select(F.explode(F.array_distinct(F.array("near", "great"))).alias("a"), "b")
 
 
-def rivals(at: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of a key that lie in different components."""
-    other = at.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"))
-    return at.join(other, (F.col("key") == F.col("k")) & (F.col("r") < F.col("root"))).select("a", F.col("node").alias("b")).distinct()
+def rare(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, node, root, size): of each of the nodes (node, root) the rarest shingles among these nodes, so many that two
+    sets of the similarity share one for certain; shingles that only one node has are counted but not listed. A passage
+    that many texts share is common, so texts which have little else in common don't meet."""
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in column:
+            yield pd.Series([shingle_set(x, words).view(np.int64) for x in batch], dtype=object)
+        trim()
+
+    own = texts.select(F.col("node").alias("o"), "size", "text").join(nodes, F.col("node") == F.col("o"))
+    each = durable(own.select("node", shingles("text").alias("keys"))).select("node", F.explode("keys").alias("key"))
+    common = each.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    listed = each.join(common, F.col("key") == F.col("k")).groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("l"))
+    listed = listed.join(own.select("node", "root", "size"), F.col("of") == F.col("node"))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    most = F.greatest(F.lit(0), first - (F.col("size") - F.size("l"))).cast("int")
+    keyed = listed.select("node", "root", "size", F.explode(F.slice("l", F.lit(1), most)).alias("x")).select("x.key", "node", "root", "size")
+    ends = keyed.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    return durable(keyed.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "size"))
+
+
+def rivals(at: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """Pairs (a, b) of nodes of a key that lie in different components, of sizes that allow the similarity if at has sizes."""
+    size = F.col("size") if "size" in at.columns else F.lit(1)
+    own = at.withColumn("size", size.cast("double"))
+    other = own.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"), F.col("size").alias("s"))
+    fits = (F.col("s") >= F.col("size") * similarity - 1e-9) & (F.col("size") >= F.col("s") * similarity - 1e-9)
+    return own.join(other, (F.col("key") == F.col("k")) & (F.col("r") < F.col("root")) & fits).select("a", F.col("node").alias("b")).distinct()
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -345,8 +369,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     forest that it gives is verified on the sets themselves. At this similarity a fingerprint differs in about ten bits,
     out of reach of any ball that can be emitted, so nodes meet by keys of minima too (see meeting_keys). What meets passes
     a loose filter of 64 * BLOCKS SimHash bits before the sets are compared. Where keys hold many pairs, rounds of stars
-    (each node of a key with the key's first) link most near copies before; at the end all pairs of a key that are not yet
-    in one component are compared, keys of over SPLIT nodes divided by a second key. Null and empty texts are alike. A
+    (see stars()) link most near copies before. At the end the pairs of a key of up to SPLIT nodes that are not yet in one
+    component are compared; nodes of longer keys meet by their rarest shingles instead, which loses no pair (see rare()). Null and empty texts are alike. A
     component is named by one of its nodes, whatever the ids are. An empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"), F.lit(0).cast("long").alias("twin"))
