@@ -13,7 +13,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import WHITE, durable, let
+from hushspan.llm.common import WHITE, durable, let, repeated
 
 #: log2 of the bins; low bits stored of each, one hexadecimal digit; words of a shingle.
 LOG2, BITS, WORDS = 7, 4, 5
@@ -22,8 +22,8 @@ BINS = 1 << LOG2
 END = "\u00ff"
 #: (full bins at least, bins of an order that are tried first): the shorter, the cheaper; all are tried where these fail.
 TRIES = ((90, 9), (40, 25))
-#: Texts whose neighbours are looked up together, about; ranges of ids at most (beyond, ranges grow).
-BUCKET, RANGES = 500, 4096
+#: Rows of a range of ids, about; ranges at most (beyond, ranges grow).
+BUCKET, RANGES = 500, 16384
 
 
 def orders(tries: int) -> str:
@@ -99,40 +99,40 @@ def equal_digits(a: Column, b: Column) -> Column:
     return total
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, following): the text of the next row by descending doc_id, after the last that of the first.
-
-    Null texts are empty; null ids come last; rows of equal id are ordered by text. Ids are cut into ranges of about BUCKET
-    rows at approximate quantiles; the order is settled inside each range, and the row after a range's last is the first
-    of the range below. A range of one id that very many rows repeat stays whole.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    count = rows.count()
+def ranges(groups: DataFrame) -> tuple[Column, Column]:
+    """(range, part) of the columns doc_id and h (a hash of the text): ranges fall with doc_id, null ids last, about BUCKET
+    groups each; an id that many groups have is cut into parts by the hash, each as large as a range."""
+    count, without = groups.agg(F.count("*"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     parts = max(1, min(RANGES, count // BUCKET))
-    outer = max(1, round(parts**0.5))
-    inner = -(-parts // outer)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / (outer * inner) for i in range(1, outer * inner)] or [0.5], 10 * outer * inner).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    groups = [cuts[i : i + inner] for i in range(0, len(cuts), inner)] or [[0]]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    most = max(map(len, groups))
+    size = max(1, count // parts)
+    found = groups.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("c")).first()["c"] or [0]
+    cuts = sorted(set(found))
+    inner = max(1, round(len(cuts) ** 0.5))
+    heads = cuts[::inner]
+    array = lambda xs: "array(" + ",".join(f"{x}L" if x > -(2**63) else f"CAST({x} AS BIGINT)" for x in xs) + ")"
+    table = F.expr("array(" + ",".join(array(cuts[i : i + inner]) for i in range(0, len(cuts), inner)) + ")")
 
     def place(i: Column) -> Column:
-        return i * most + F.when(i == 0, 0).otherwise(F.size(F.filter(F.get(table, i - 1), lambda x: x <= F.col("doc_id"))))
-
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(let(F.size(F.filter(heads, lambda x: x <= F.col("doc_id"))), place))
-    rows = rows.withColumn("bucket", bucket.cast("int"))
-    order = (F.desc_nulls_last("doc_id"), "text")
-    rows = rows.withColumn("following", F.lead("text").over(Window.partitionBy("bucket").orderBy(*order)))
-    # the first row of each range; one row of each: (greatest id, least text) by partial aggregates
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket.cast("int"))
-    tops = own.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    first = own.join(F.broadcast(tops.withColumnRenamed("bucket", "at")), (F.col("bucket") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
-    ring = Window.orderBy(F.desc("bucket"))
-    begin = F.first("text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    beyond = first.select(F.col("bucket").alias("at"), F.coalesce(F.lead("text").over(ring), begin).alias("beyond"))
-    return rows.join(F.broadcast(beyond), F.col("bucket") == F.col("at"), "left").select("doc_id", "text", F.coalesce("following", "beyond").alias("following"))
+        return i * inner + F.when(i == 0, 0).otherwise(F.size(F.filter(F.get(table, i - 1), lambda x: x <= F.col("doc_id"))))
+
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(let(F.size(F.filter(F.expr(array(heads)), lambda x: x <= F.col("doc_id"))), place))
+    many = {c: found.count(c) for c in cuts if found.count(c) > 1}
+    wide = F.when(F.col("doc_id").isNull(), F.lit(max(1, without // size)))
+    if many:
+        wide = wide.otherwise(F.element_at(F.map_from_arrays(F.expr(array(many)), F.expr(array(many.values()))), F.col("doc_id")))
+    part = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * wide)
+    return bucket.cast("int"), F.coalesce(part + 1, F.lit(0)).cast("long")
+
+
+def edited(text: Column, following: Column) -> Column:
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.left(text, F.length(text) - half), F.left(following, half))
+
+
+def judged(own: DataFrame, following: str) -> DataFrame:
+    """own with the edited text's hash and fingerprint, null where `following` is."""
+    changed = edited(F.col("text"), F.col(following))
+    return own.withColumn("edited", changed).withColumns({"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "edited_fingerprint": fingerprint(F.col("edited"))}).drop("edited")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -143,17 +143,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
-    The edited text has its last floor(n_chars / 2) characters replaced by the first as many of the next text (all of
-    it if it is shorter). A single row is its own next.
+    The edited text has its last floor(n_chars / 2) characters replaced by the first as many of the next text (all of it if
+    it is shorter). Next is the row after this by descending doc_id, null ids last, rows of one id in order of two hashes
+    of the text; after the last comes the first; a single row is its own next. Null texts are empty. Other columns are
+    ignored; an empty table gives an empty table.
+
+    Rows are dealt out into ranges of this order once, with their fingerprints, and look ahead inside them. The last row of
+    each range then meets the first of the next one, in a join of at most one row a range. A text that one id has more
+    often than a range has rows is ordered once: all but one of its rows have it as their next.
     """
-    rows = neighbours(docs)
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 2)))"), F.left("following", half))
-    out = durable(
-        rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "following", edited.alias("edited"))
-        .select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), F.xxhash64("following").alias("next_hash"), F.xxhash64("text").alias("own_hash"))
-    )
-    # the next document's fingerprint is that of any document with its text
-    prints = out.groupBy(F.col("own_hash").alias("of")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    out = out.join(prints, out["next_hash"] == prints["of"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    out = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(5), "text")})
+    groups = durable(rows.groupBy("doc_id", "h", "g").agg(F.count("*").alias("n")))
+    bucket, part = ranges(groups)
+    rows = fingerprints(rows)
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    often = groups.where(F.col("n") > max(BUCKET, total // RANGES))
+    hot = bool(often.head(1))
+    if hot:  # at most RANGES groups have so many rows each: a table of that bound may be sent out
+        far = F.broadcast(often.select(F.col("doc_id").alias("i"), F.col("h").alias("i1"), F.col("g").alias("i2"), "n"))
+        flagged = rows.join(far, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("i1")) & (F.col("g") == F.col("i2")), "left").drop("i", "i1", "i2")
+        one = flagged.where("n is not null").groupBy("doc_id", "h", "g").agg(F.first("text").alias("text"), F.first("fingerprint").alias("fingerprint"), F.first("n").alias("n"))
+        rows = flagged.where("n is null").unionByName(one)
+    rows = rows.withColumns({"bucket": bucket, "part": part})
+    over = Window.partitionBy("bucket", "part").orderBy(F.desc_nulls_last("doc_id"), "h", "g")
+    rows = rows.withColumns({"following": F.lead("text").over(over), "next_fingerprint": F.lead("fingerprint").over(over), "place": F.row_number().over(over)})
+    rows = judged(rows.withColumn("n_chars", F.length("text").cast("long")), "following")
+    end = F.col("following").isNull()
+    kept = [*out, "bucket", "part", "h", "g", (F.col("place") == 1).alias("first"), end.alias("last"), F.when((F.col("place") == 1) | end, F.col("text")).alias("text")]
+    if hot:
+        own = judged(rows.where("n is not null").drop("edited_sha256", "edited_fingerprint").withColumn("again", F.col("text")), "again").withColumn("next_fingerprint", F.col("fingerprint"))
+        copies = durable(own.select(*out, (F.col("n") - 1).alias("n"), "h", "g"))
+        copies = repeated(copies, "n", "k", ["h", "g"]).select(*out)
+    rows = durable(rows.select(*kept))
+    # ids of ranges only, one row each
+    ring = Window.orderBy(F.desc("bucket"), "part")
+    begin = F.first(F.struct("bucket", "part")).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = rows.where("first").select("bucket", "part").withColumn("to", F.coalesce(F.lead(F.struct("bucket", "part")).over(ring), begin))
+    heads = rows.where("first").select(F.col("bucket").alias("b"), F.col("part").alias("p"), F.col("text").alias("following"), F.col("fingerprint").alias("f"))
+    links = after.select(F.col("bucket").alias("b0"), F.col("part").alias("p0"), F.col("to.bucket").alias("b1"), F.col("to.part").alias("p1"))
+    ends = rows.where("last").drop("edited_sha256", "edited_fingerprint").join(links, (F.col("bucket") == F.col("b0")) & (F.col("part") == F.col("p0"))).join(heads, (F.col("b1") == F.col("b")) & (F.col("p1") == F.col("p")))
+    ends = judged(ends.withColumn("next_fingerprint", F.col("f")), "following")
+    every = rows.where("not last").select(*out).unionByName(ends.select(*out))
+    if hot:
+        every = every.unionByName(copies)
+    near = lambda c: likeness(F.col("fingerprint"), F.col(c))
+    return every.select(*out[:5], near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

@@ -14,14 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import WORD, durable
+from hushspan.llm.common import WORD, durable, repeated
 
 #: Relative error of a source's words at which Newton stops, its steps at most, those of one job, and levels of the search
 #: for the shift with the bins of each.
 EXACT, STEPS, CHAIN, LEVELS, BINS = 1e-7, 60, 3, 2, 1 << 16
-#: Sizes of which documents are added singly to a source, at most, to fill what is left, and documents of each; copies of
-#: one row that a task unfolds at once.
-FILLS, EACH, UNFOLD = 5, 64, 100_000
+#: Sizes of which documents are added singly to a source, at most, to fill what is left, and documents of each.
+FILLS, EACH = 5, 64
 CAP = 2.0
 
 
@@ -31,16 +30,6 @@ def keys(apart: Sequence[str]) -> list[Column]:
     return [F.xxhash64(*own).alias("key1"), F.xxhash64(F.lit(11), *own).alias("key2")]
 
 
-def repeated(df: DataFrame, times: str, index: str, spread: list[str]) -> DataFrame:
-    """Each row of df as often as `times` says, with its index from 1. Rows that come very often are cut into blocks, which
-    are dealt out over tasks, before they are unfolded."""
-    some = df.where(F.col(times) <= UNFOLD).withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
-    blocks = df.where(F.col(times) > UNFOLD).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / UNFOLD))))
-    blocks = blocks.repartition(*spread, "_block")
-    first, last = F.col("_block") * UNFOLD + 1, F.least(F.col(times), (F.col("_block") + 1) * UNFOLD)
-    return some.unionByName(blocks.withColumn(index, F.explode(F.sequence(first, last))).drop("_block"))
-
-
 def sizes(docs: DataFrame, apart: Sequence[str]) -> DataFrame:
     """(doc_id, source, size, key1, key2, u): words of each document, and its place in a fixed random order, 0 to 1. Rows
     that are alike in all columns of `apart` are counted before they are shuffled and numbered after, so that each has a
