@@ -17,14 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import small_batches
+from hushspan.llm.common import durable, small_batches
 
-#: Rows learned from in each language, about (the bound of the sample).
-SAMPLE = 3000
+#: Rows learned from in each language, about, and in all: the bound of the sample, shared evenly by very many languages.
+SAMPLE, TOTAL = 3000, 300_000
 #: Lengths of n-grams, hash functions, slots for each entry, least count and least share of the most frequent language's rate.
 SIZES, HASHES, SLOTS, LEAST, SHARE = (2, 3, 4), 3, 24, 4, 0.25
-#: Languages whose shares are broadcast at most.
-MANY = 10_000
+#: Languages whose shares are broadcast at most; n-grams of a language's sample for each time that one must be met, up to
+#: LEAST: a language of few texts keeps all of its n-grams.
+MANY, RICH = 10_000, 20_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SPACE = 32
 
@@ -127,14 +128,16 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame) -> Model:
     """Learns from rows with text, doc_id and lang that are not held out: of each language about SAMPLE rows, those of
-    least hash of doc_id; all if there are fewer. N-grams are counted where the rows lie; the driver gets those met LEAST times
-    or more, whose number the sample bounds."""
+    least hash of doc_id; all if there are fewer; less of each if there are more than TOTAL / SAMPLE languages. N-grams are
+    counted where the rows lie. The driver gets those met LEAST times or more, of languages with small samples those met
+    less often too, down to once: each language learned from has n-grams. The sample bounds their number."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    share = known.groupBy("lang").agg((F.lit(float(SAMPLE)) / F.count("*")).alias("share")).withColumnRenamed("lang", "of")
-    rows = share.limit(MANY + 1).collect()
-    if len(rows) <= MANY:  # the usual case: texts then stay where they are; with more languages the join deals them out
-        share = F.broadcast(docs.sparkSession.createDataFrame(rows, share.schema))
-    least = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
+    counts = durable(known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows")))
+    most = min(SAMPLE, TOTAL / max(1, counts.count()))
+    share = counts.select((F.lit(float(most)) / F.col("rows")).alias("share"), "of")
+    if counts.count() <= MANY:  # the usual case: texts stay where they are; with more languages the join deals them out
+        share = F.broadcast(share)
+    least = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
     sample = known.join(share, known["lang"] == share["of"]).where(least < F.col("share")).select("lang", "text")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,8 +146,10 @@ def train(docs: DataFrame) -> Model:
                 gram, n = np.unique(grams(own["text"].tolist())[0], return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
-    total = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    return build(total.toPandas())
+    total = durable(sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    size = total.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("size"))
+    need = F.greatest(F.lit(1), F.least(F.lit(LEAST), F.floor(F.col("size") / RICH)))
+    return build(total.join(size, total["lang"] == size["of"]).where(F.col("n") >= need).select("lang", "gram", "n").toPandas())
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
