@@ -82,15 +82,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takes in all documents as one batch, sends the batch again (which changes nothing), and returns the totals."""
+    """Totals of all documents after a history of batches: all are loaded with no language, the load is sent again (which
+    changes nothing), a revision gives each its language, those without one are withdrawn and come back. Tokens are
+    counted once. The result is the table's own totals by source, language and tokenizer."""
     from hushspan.llm.bpe import count_tokens
-    from hushspan.llm.common import shared_dir
-    from hushspan.llm.rollup import Rollup, changes
+    from hushspan.llm.common import durable, shared_dir
+    from hushspan.llm.rollup import Rollup, changes, revised
 
     totals = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    batch = changes(documents(spark, sf_dir), VOCABULARY, lambda docs: count_tokens(docs, vocabulary()))
-    totals.commit("load", batch)
-    totals.commit("load", batch)
+    docs = durable(count_tokens(documents(spark, sf_dir).select("text", "source", "lang"), vocabulary()).drop("text"))
+    first = docs.withColumn("lang", F.lit(None).cast("string"))
+    batches = [("load", changes(first, VOCABULARY)), ("load", changes(first, VOCABULARY)), ("languages", revised(first, docs, VOCABULARY))]
+    batches += [(name, changes(docs.where("lang is null"), VOCABULARY, sign=sign)) for name, sign in (("withdrawn", -1), ("back", 1))]
+    for name, batch in batches:
+        totals.commit(name, batch)
+    totals.compact()
     return totals.totals()
 
 

@@ -208,7 +208,7 @@ def test_mixing(spark, corpus, odd, none):
 
 
 def test_mixing_meets_targets_with_null_and_repeated_ids(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "UNFOLD", 7)
+    monkeypatch.setattr(common, "UNFOLD", 7)
     same = [(None, "five words in this text")] * 100
     rows = same + [(7, " ".join(["w"] * (1 + k % 9))) for k in range(100)] + [(k, "a b c") for k in range(50)]
     docs = spark.createDataFrame([(i, t, "a" if k < 100 else "b") for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
@@ -355,6 +355,27 @@ def test_minhash(spark, corpus, odd, none):
     assert minhash.edited_likeness(odd).count() == len(ODD) and minhash.edited_likeness(none).count() == 0
 
 
+def test_next_text_with_null_repeated_and_many_rows(spark, monkeypatch):
+    """Against a walk over all rows in order; ranges so small that ends, parts of one id and often repeated rows all occur."""
+    monkeypatch.setattr(minhash, "BUCKET", 8)
+    rng = random.Random(12)
+    words = lambda: " ".join(rng.choice("abcdefghijk") * rng.randint(1, 3) for _ in range(rng.randint(0, 30)))
+    rows = [(i, words()) for i in range(120)] + [(None, words()) for _ in range(60)] + [(57, words()) for _ in range(50)] + [(None, None)] * 30 + [(-5, "the same text of one id")] * 40 + [(300, "")] * 3 + [(-(2**63), "x y z"), (2**63 - 1, "é😀 中")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", F.xxhash64("t").alias("h")).collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    want = []
+    for r, n in zip(order, order[1:] + order[:1], strict=True):
+        half = len(r["t"]) // 2
+        text = r["t"][: len(r["t"]) - half] + n["t"][:half]
+        want.append((str(r["doc_id"]), len(r["t"]), hashlib.sha256(text.encode()).hexdigest()))
+    got = minhash.edited_likeness(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+    prints = {(r["doc_id"], r["text"]): r["fingerprint"] for r in minhash.fingerprints(docs).collect()}
+    assert all(0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 for r in got) and {r["fingerprint"] for r in got} == set(prints.values())
+
+
 def brute_top(vectors, k):
     fine = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
@@ -454,3 +475,75 @@ def test_rollup(spark, tmp_path, odd, none):
     assert state() == {}
     with pytest.raises(ValueError):
         total.commit("../x", rollup.changes(odd, "t", words))
+
+
+def test_rollup_of_a_broken_compaction_and_of_two_writers(spark, tmp_path, odd, monkeypatch):
+    words = lambda d: d.withColumn("n_tokens", F.lit(5).cast("long"))
+    total = rollup.Rollup(spark, f"file://{tmp_path}/r")
+    state = lambda: sorted(map(tuple, total.totals().collect()), key=str)
+    batch = rollup.changes(odd, "t", words)
+    total.commit("b1", batch)
+    total.commit("b2", batch)
+    want = state()
+    # lost between taking in the base and deleting what it covers
+    monkeypatch.setattr(rollup.Rollup, "_sweep", lambda self: None)
+    total.compact()
+    assert state() == want and total.covered() == {"b1", "b2"} and not total.commit("b1", batch)
+    monkeypatch.undo()
+    total.commit("b3", batch)
+    more = state()
+    total.compact()
+    assert state() == more and total.covered() == {"b1", "b2", "b3"} and len(total.taken()) == 1
+    # a second writer that has seen no b4 either: it comes after the first one's rename
+    fs = total._system()
+    once = rollup.Rollup(spark, total.path)
+    monkeypatch.setattr(once, "covered", lambda: set())
+    assert total.commit("b4", batch) and not once.commit("b4", batch)
+    after = state()
+    # one that checked before the first renamed, and renames after it
+    class Late:
+        def __init__(self, fs):
+            self.fs = fs
+        def __getattr__(self, name):
+            return (lambda path: False if path.getName() == "b4" else self.fs.exists(path)) if name == "exists" else getattr(self.fs, name)
+    monkeypatch.setattr(once, "_system", lambda: Late(fs))
+    assert not once.commit("b4", batch) and state() == after != more
+
+
+def test_token_counts_query_equals_a_recount(spark, vocabulary):
+    from collections import Counter
+
+    from hushspan.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    plain, docs, tokens = plain_encoder(vocabulary), Counter(), Counter()
+    for r in queries.documents(spark, sf).collect():
+        docs[r["source"], r["lang"]] += 1
+        tokens[r["source"], r["lang"]] += len(plain.encode_ordinary(r["text"] or ""))
+    got = queries.op10_token_counts(spark, sf).collect()
+    assert {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in got} == {k: (docs[k], tokens[k]) for k in docs}
+
+
+def test_few_texts_of_a_language_are_enough(spark):
+    texts = {"en": "the cat sat on the mat and the dog ran", "es": "el perro come en la casa de mi padre", "de": "der hund und die katze sind im haus"}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([*texts.items()] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["de", "en", "es"]
+    assert all(r["lang_pred"] == lang for r, (_, _, lang) in zip(langid.identify(docs).orderBy("doc_id").collect(), rows, strict=True))
+
+
+def test_masks_answer_for_every_language(spark):
+    """Hits by the bit-sliced filter against sets: each n-gram of a language is found, others only at the false rate."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    langs = [f"l{i:02d}" for i in range(70)]
+    sets = {x: np.unique(rng.integers(0, 1 << 62, 300)) for x in langs}
+    model = langid.build(pd.DataFrame([(x, g, 1) for x in langs for g in sets[x]], columns=["lang", "gram", "n"]))
+    every = np.concatenate(list(sets.values())).astype(np.uint64)
+    both = np.bitwise_and.reduce([model.masks[at] for at in langid.slots(every, model.log2)])
+    for i, x in enumerate(langs):
+        bit = (both[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+        own = np.isin(every, sets[x].astype(np.uint64))
+        assert bit[own].all() and abs(bit[~own].mean() - model.false[i]) < 0.01
