@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 #: Of similar(): keys of a text and minima that make one; blocks of 64 bits of the prefilter, standard deviations that it
 #: leaves as margin, shingles from which on it is used; rounds of stars at most; nodes of a key that are compared with each
 #: other as they are, and nodes of a row's key, on average, up to which no round of stars comes first.
-KEYS, MINIMA, BLOCKS, MARGIN, MANY, STARS, SPLIT, CHEAP = 24, 4, 12, 6, 64, 3, 64, 8
+KEYS, MINIMA, BLOCKS, MARGIN, MANY, STARS, SPLIT, CHEAP = 24, 4, 12, 6, 64, 3, 16, 8
 _rng = np.random.default_rng(42)
 _XOR, _ODD = (_rng.integers(0, 1 << 64, (KEYS * MINIMA, 1), np.uint64) for _ in range(2))
 _ODD = _ODD | np.uint64(1)
@@ -330,9 +330,10 @@ def stars(at: DataFrame) -> DataFrame:
 
 
 def rare(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, node, root, size): of each of the nodes (node, root) the rarest shingles among these nodes, so many that two
-    sets of the similarity share one for certain; shingles that only one node has are counted but not listed. A passage
-    that many texts share is common, so texts which have little else in common don't meet."""
+    """(key, node, root, size, at): of each of the nodes (node, root) the rarest shingles among these nodes with their
+    places in that order, so many that two sets of the similarity share one for certain; shingles that only one node has
+    are counted but not listed. A passage that many texts share is common, so texts which have little else in common
+    don't meet."""
 
     @F.pandas_udf("array<bigint>")
     def shingles(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -346,18 +347,23 @@ def rare(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> D
     listed = each.join(common, F.col("key") == F.col("k")).groupBy(F.col("node").alias("of")).agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("l"))
     listed = listed.join(own.select("node", "root", "size"), F.col("of") == F.col("node"))
     first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    most = F.greatest(F.lit(0), first - (F.col("size") - F.size("l"))).cast("int")
-    keyed = listed.select("node", "root", "size", F.explode(F.slice("l", F.lit(1), most)).alias("x")).select("x.key", "node", "root", "size")
+    alone = F.col("size") - F.size("l")
+    most = F.greatest(F.lit(0), first - alone).cast("int")
+    keyed = listed.select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("l", F.lit(1), most)).alias("i", "x")).select("x.key", "node", "root", "size", (F.col("alone") + F.col("i") + 1).alias("at"))
     ends = keyed.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    return durable(keyed.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "size"))
-
-
-def rivals(at: DataFrame, similarity: float = 0.0) -> DataFrame:
-    """Pairs (a, b) of nodes of a key that lie in different components, of sizes that allow the similarity if at has sizes."""
-    size = F.col("size") if "size" in at.columns else F.lit(1)
-    own = at.withColumn("size", size.cast("double"))
-    other = own.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"), F.col("size").alias("s"))
-    fits = (F.col("s") >= F.col("size") * similarity - 1e-9) & (F.col("size") >= F.col("s") * similarity - 1e-9)
+    return durable(keyed.join(ends, F.col("key") == F.col("k")).select("key", "node", "root", "size", "at"))
+
+
+def rivals(at: DataFrame, similarity: float | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes of a key that lie in different components. With a similarity, at is of rare(), and a pair is
+    left out where even all that comes after the shared shingle would not make the sets alike: that holds for each shingle
+    of an alike pair that is its first in both orders."""
+    own = at if similarity is not None else at.withColumns({"size": F.lit(1), "at": F.lit(1)})
+    other = own.select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("r"), F.col("size").alias("s"), F.col("at").alias("p"))
+    fits = F.lit(True)
+    if similarity is not None:
+        common = similarity / (1 + similarity) * (F.col("size") + F.col("s")) - 1e-9
+        fits = F.least(F.col("size") - F.col("at"), F.col("s") - F.col("p")) + 1 >= common
     return own.join(other, (F.col("key") == F.col("k")) & (F.col("r") < F.col("root")) & fits).select("a", F.col("node").alias("b")).distinct()
 
 
