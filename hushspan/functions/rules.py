@@ -17,13 +17,25 @@ class Rule:
     needs: tuple[str, ...] = ()
     #: A pattern without boundaries or flags that any match holds, cheaper than the whole.
     hint: str = ""
+    #: For patterns that repeat a group, which Java matches by recursion: a pattern that never goes back over the group and
+    #: finds all that may hold a match, and what of it is the match. Results are those of `pattern`.
+    chain: str = ""
+    inside: str = ""
 
     @property
     def java(self) -> str:
         """The pattern for Java, with Unicode-aware classes."""
-        return ("(?iU)" if self.ignore_case else "(?U)") + self.pattern
+        return self.flags + (self.chain or self.pattern)
+
+    @property
+    def flags(self) -> str:
+        return "(?iU)" if self.ignore_case else "(?U)"
 
 
+# Parts of the rule for domains.
+_LABELS = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)"
+_TOP = "(?:com|org|net|edu|gov|io|co|mil|int|uk|de|fr|ca|au|nl|ch|eu|us)"
+
 # Patterns, confidences and dispositions that results depend on, in the order that breaks ties.
 RULES = [
     Rule("ssn", r"\b\d{3}-\d{2}-\d{4}\b", 0.92, needs=("-",), hint=r"\p{Nd}-\p{Nd}"),
@@ -41,7 +53,7 @@ RULES = [
     Rule("group", r"""\b(?:group\s?(?:number|no\.?|num|#)?)["']?[:=#]?\s{0,3}["']?(?=[A-Za-z0-9-]*\d)[A-Za-z0-9-]{2,15}\b""", 0.7, True, needs=("group",), hint=r"\p{Nd}"),
     Rule("testid", r"\b(?:test\s?id|test\s?(?:number|no\.?|#)|accession(?:\s?(?:number|no\.?|#|id))?)[:#]?\s?(?=[A-Za-z0-9-]*\d)[A-Za-z0-9-]{3,20}\b", 0.7, True, needs=("test", "teſt", "accession"), hint=r"\p{Nd}"),
     Rule("date", r"\b(?:Jan(?:uary)?|JAN(?:UARY)?|Feb(?:ruary)?|FEB(?:RUARY)?|Mar(?:ch)?|MAR(?:CH)?|Apr(?:il)?|APR(?:IL)?|May|MAY|Jun(?:e)?|JUN(?:E)?|Jul(?:y)?|JUL(?:Y)?|Aug(?:ust)?|AUG(?:UST)?|Sep(?:t(?:ember)?)?|SEP(?:T(?:EMBER)?)?|Oct(?:ober)?|OCT(?:OBER)?|Nov(?:ember)?|NOV(?:EMBER)?|Dec(?:ember)?|DEC(?:EMBER)?)\.?,?\s+(?:18|19|20)\d{2}\b", 0.8, needs=("18", "19", "20"), hint=r"\p{Nd}"),
-    Rule("domain", r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+(?:com|org|net|edu|gov|io|co|mil|int|uk|de|fr|ca|au|nl|ch|eu|us)\b", 0.75, True, needs=(".com", ".org", ".net", ".edu", ".gov", ".io", ".co", ".mil", ".int", ".uk", ".de", ".fr", ".ca", ".au", ".nl", ".ch", ".eu", ".us")),
+    Rule("domain", r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+(?:com|org|net|edu|gov|io|co|mil|int|uk|de|fr|ca|au|nl|ch|eu|us)\b", 0.75, True, needs=(".com", ".org", ".net", ".edu", ".gov", ".io", ".co", ".mil", ".int", ".uk", ".de", ".fr", ".ca", ".au", ".nl", ".ch", ".eu", ".us"), chain=rf"\b{_LABELS}++(?:{_TOP}\b)?", inside=rf"^.*\.{_TOP}\b"),
     Rule("beneficiary", r"""\b(?:member|subscriber|policy|beneficiary|insured|enrollee)\s?(?:id|ident(?:ifier)?|number|no\.?|#)?["']?\s{0,3}[:=#]?\s{0,3}["']?(?=[A-Za-z0-9-]*[0-9])[A-Za-z0-9][A-Za-z0-9-]{4,24}\b""", 0.85, True, needs=("member", "subscriber", "policy", "beneficiary", "insured", "enrollee"), hint=r"\p{Nd}"),
     Rule("cpt", r"""\b(?:cpt|hcpcs|procedure|proc\.?|service)\s?(?:code)?["']?\s?[:=#]?\s?["']?\d{5}\b""", 0.95, True, "flag", needs=("cpt", "hcpcs", "proc", "service"), hint=r"\p{Nd}"),
     Rule("icd10", r"\b[A-TV-Z][0-9][0-9AB]\.[0-9A-TV-Z]{1,4}\b", 0.9, disposition="flag", needs=(".",), hint=r"[A-TV-Z][0-9][0-9AB]\."),
@@ -58,20 +70,22 @@ DATA_RULES = [
 
 # Column and key names that hold a person, normalised, with what they hold.
 _REDACTED = {
-    "beneficiary": "memberid membernumber memberno subscriberid policyid policynumber beneficiaryid insuredid enrolleeid",
-    "mrn": "mrn medicalrecordnumber medicalrecordno patientid chartnumber",
-    "ssn": "ssn socialsecuritynumber",
-    "dob": "dob dateofbirth birthdate",
-    "name": "membername patientname subscribername beneficiaryname insuredname",
-    "address": "address address1 addressline1 streetaddress street city town zip zipcode postalcode postcode",
+    "beneficiary": ["memberid", "membernumber", "memberno", "subscriberid", "policyid", "policynumber", "beneficiaryid", "insuredid", "enrolleeid"],
+    "mrn": ["mrn", "medicalrecordnumber", "medicalrecordno", "patientid", "chartnumber"],
+    "ssn": ["ssn", "socialsecuritynumber"],
+    "dob": ["dob", "dateofbirth", "birthdate"],
+    "name": ["membername", "patientname", "subscribername", "beneficiaryname", "insuredname"],
+    "address": ["address", "address1", "addressline1", "streetaddress", "street", "city", "town", "zip", "zipcode", "postalcode", "postcode"],
 }
-_FLAGGED = {"cpt": "cpt cptcode hcpcs procedurecode", "icd10": "dx diagnosis diagnosiscode icd icd10"}
-COLUMNS = {name: (kind, how) for table, how in ((_REDACTED, "redact"), (_FLAGGED, "flag")) for kind, names in table.items() for name in names.split()}
+_FLAGGED = {"cpt": ["cpt", "cptcode", "hcpcs", "procedurecode"], "icd10": ["dx", "diagnosis", "diagnosiscode", "icd", "icd10"]}
+COLUMNS = {name: (kind, how) for table, how in ((_REDACTED, "redact"), (_FLAGGED, "flag")) for kind, names in table.items() for name in names}
 CODE_SHAPES = {"cpt": "^[0-9]{5}$|^[A-Za-z][0-9]{4}$", "icd10": r"^[A-TVa-tv-z][0-9][0-9ABab](\.[0-9A-TVa-tv-z]{1,4})?$"}
 
 # Given names known by default; a longer list is a parameter of the detectors.
-GIVEN_NAMES = """alice anna maria jose john james sarah fatima janice marc mary robert linda michael david susan karen
-priya raj amit ahmed omar layla yusuf mei wei jun hiroshi yuki kenji sofia carlos luis ana miguel elena ivan olga""".split()
+GIVEN_NAMES = [
+    "alice", "anna", "maria", "jose", "john", "james", "sarah", "fatima", "janice", "marc", "mary", "robert", "linda", "michael", "david", "susan", "karen",
+    "priya", "raj", "amit", "ahmed", "omar", "layla", "yusuf", "mei", "wei", "jun", "hiroshi", "yuki", "kenji", "sofia", "carlos", "luis", "ana", "miguel", "elena", "ivan", "olga",
+]
 
 
 def check(pattern: str) -> str | None:

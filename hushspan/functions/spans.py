@@ -9,27 +9,30 @@ from hushspan.functions.entities import let, no_spans, span
 from hushspan.functions.rules import Rule
 
 
-def places(text: Column, pattern: str) -> Column:
-    """array<struct<start int, value string>> of all matches of a Java pattern that never matches the empty text.
+def places(text: Column, pattern: str, inside: str = "") -> Column:
+    """array<struct<start int, value string>> of all matches of a Java pattern that never matches the empty text; of each
+    match only what `inside` finds at its start, if that is given, and no match where it finds nothing.
 
     What the pattern splits off and what it extracts alternate, so their lengths add up to the offsets.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + pair["gap"]
-        return F.struct((at + F.length(pair["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.cast("int").alias("start"), pair["value"].alias("value")))).alias("out"))
-
-    return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast("array<struct<start:int,value:string>>")).otherwise(F.aggregate(pairs, start, step)["out"]))
+    pairs = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g)).alias("gap"), F.transform(found, lambda v: F.length(v)).alias("size"))
+    # plain numbers are collected, and joined to the values after: copying them is what an array of many matches costs
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + p["gap"] + p["size"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + p["gap"])).alias("out"))
+    out = F.arrays_zip(F.aggregate(pairs, start, step)["out"].alias("start"), found.alias("value"))
+    if inside:
+        cut = F.transform(out, lambda m: F.struct(m["start"].alias("start"), F.regexp_extract(m["value"], inside, 0).alias("value")))
+        out = F.filter(cut, lambda m: m["value"] != "")
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    return F.when(F.size(found) == 0, none).otherwise(out)
 
 
 def rule_spans(text: Column, rule: Rule, source: str = "regex", detector: int = 0, ord: int = 0, low: Column | None = None) -> Column:
     """SPANS of one rule; the costly part runs only for texts that pass the rule's cheap tests and match at all. low: the
     text in lower case, where several rules share it."""
-    one = F.transform(places(text, rule.java), lambda m, i: span(m["start"], m["value"], rule.type, rule.confidence, source, rule.disposition, detector, F.lit(ord * 100_000) + i))
+    one = F.transform(places(text, rule.java, rule.flags + rule.inside if rule.inside else ""), lambda m, i: span(m["start"], m["value"], rule.type, rule.confidence, source, rule.disposition, detector, F.lit(ord * 100_000) + i))
     test = text.rlike(rule.java)
     if rule.hint:
         test = text.rlike(rule.hint) & test
@@ -52,7 +55,7 @@ def ordered(spans: Column) -> Column:
     """By start, then the longer, then the surer, then detector and match: as resolution takes them."""
     key = lambda s: F.struct(s["start"], -s["end"], -s["confidence"], s["detector_ord"], s["match_ord"])
     keyed = F.transform(F.filter(spans, lambda s: s["end"] > s["start"]), lambda s: F.struct(key(s).alias("k"), s.alias("s")))
-    return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda x: x["s"])
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
 def overlap(spans: Column) -> Column:

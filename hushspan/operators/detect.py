@@ -174,7 +174,7 @@ TITLE_BEFORE = rf"(?:^|\s)(?:{TITLES})(?:\.\s*|\s+)$"
 def name_spans(text: Column, names: Sequence[str] = GIVEN_NAMES) -> Column:
     """A heuristic in place of a trained tagger: capitalised words after a title, a given name with the capitalised words
     after it, and single capitalised words of eponyms and instruments; those last are then judged by drop_frames."""
-    word = r"\p{Lu}\p{L}*(?:['’\-]\p{Lu}\p{L}*)*"
+    word = r"\p{Lu}\p{L}*+(?:['’\-]\p{Lu}\p{L}*+)*+"  # never goes back: no recursion over long chains
     run = rf"{word}(?:[ ]{word}){{0,3}}"
     titled = rf"(?<=\b(?:{TITLES})\.?[ ])(?:{run})"
     given = "(?:" + "|".join(sorted({n.capitalize() for n in names} | {n.upper() for n in names})) + rf")(?:[ ]{word}){{1,3}}"

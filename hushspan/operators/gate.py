@@ -15,16 +15,16 @@ from hushspan.operators.detect import MODEL, _row
 FLOOR = 0.5
 FINDINGS = "array<struct<type:string,value:string,confidence:double>>"
 # Categories offered to the model; particles of names; words that identify nobody.
-CATEGORIES = "NAME ADDRESS ZIP DOB DATE PHONE FAX EMAIL SSN MRN ACCOUNT LICENSE BENEFICIARY IP URL DEVICE VEHICLE AGE SEX RACE MARITAL OTHER".split()
-PARTICLES = set("van von de del della da das di do dos du la le las los der den el san santa st ste bin ibn abu ben al mac mc ter ten y e".split())
-FILLERS = set(
-    """a the this that these those here there then is are was were be been being am do does did has have had
-    i you she they it me us them him my your our their his her its mine yours ours theirs
-    of to in on at for with from by as about into onto over and or but if than because while when where which who whom
-    hey hello yeah yep okay please thanks thank yes not ssn dob phone email address name
-    patient patients client clients member subscriber interpreter provider clinician counselor counsellor therapist therapy
-    session sessions visit visits encounter chart history treatment assessment referral discharge admission score scores""".split()
-)
+CATEGORIES = ["NAME", "ADDRESS", "ZIP", "DOB", "DATE", "PHONE", "FAX", "EMAIL", "SSN", "MRN", "ACCOUNT", "LICENSE", "BENEFICIARY", "IP", "URL", "DEVICE", "VEHICLE", "AGE", "SEX", "RACE", "MARITAL", "OTHER"]
+PARTICLES = {"van", "von", "de", "del", "della", "da", "das", "di", "do", "dos", "du", "la", "le", "las", "los", "der", "den", "el", "san", "santa", "st", "ste", "bin", "ibn", "abu", "ben", "al", "mac", "mc", "ter", "ten", "y", "e"}
+FILLERS = {
+    "a", "the", "this", "that", "these", "those", "here", "there", "then", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "has", "have", "had",
+    "i", "you", "she", "they", "it", "me", "us", "them", "him", "my", "your", "our", "their", "his", "her", "its", "mine", "yours", "ours", "theirs",
+    "of", "to", "in", "on", "at", "for", "with", "from", "by", "as", "about", "into", "onto", "over", "and", "or", "but", "if", "than", "because", "while", "when", "where", "which", "who", "whom",
+    "hey", "hello", "yeah", "yep", "okay", "please", "thanks", "thank", "yes", "not", "ssn", "dob", "phone", "email", "address", "name",
+    "patient", "patients", "client", "clients", "member", "subscriber", "interpreter", "provider", "clinician", "counselor", "counsellor", "therapist", "therapy",
+    "session", "sessions", "visit", "visits", "encounter", "chart", "history", "treatment", "assessment", "referral", "discharge", "admission", "score", "scores",
+}
 
 
 def anchored(findings: list[dict], text: str) -> list[dict]:

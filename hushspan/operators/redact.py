@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushspan.functions.entities import let, token_prefix
+from hushspan.functions.spans import overlap
 
 
 def hmac_sha256(key: bytes, value: Column) -> Column:
@@ -22,9 +23,9 @@ def pseudonym(prefix: Column, value: Column, key: bytes, width: int = 8) -> Colu
 
 
 def active(spans: Column) -> Column:
-    """Spans to redact, those in the way of one already taken left out (spans are in order)."""
+    """Spans to redact, those in the way of one already taken left out (spans are in order; resolved ones never are)."""
     enabled = F.filter(spans, lambda s: s["enabled"] & (s["end"] > s["start"]))
-    return let(enabled, lambda e: F.filter(e, lambda s, i: (i == 0) | (s["start"] >= F.coalesce(F.array_max(F.transform(F.slice(e, F.lit(1), i), lambda p: p["end"])), F.lit(0)))))
+    return let(enabled, lambda e: F.when(~overlap(e), e).otherwise(F.filter(e, lambda s, i: (i == 0) | (s["start"] >= F.coalesce(F.array_max(F.transform(F.slice(e, F.lit(1), i), lambda p: p["end"])), F.lit(0))))))
 
 
 def tokens(spans: Column, mode: str = "redact", key: bytes | None = None, width: int = 8) -> Column:
@@ -32,13 +33,17 @@ def tokens(spans: Column, mode: str = "redact", key: bytes | None = None, width:
     mode pseudonymise it is derived from value and key, and without a key falls back to counting."""
 
     def all_tokens(taken: Column) -> Column:
+        kinds = F.array_distinct(F.transform(taken, lambda s: s["type"]))
+        of = lambda k: F.array_distinct(F.transform(F.filter(taken, lambda o: o["type"] == k), lambda o: o["value"]))
+        return let(F.map_from_arrays(kinds, F.transform(kinds, of)), lambda values: stamped(taken, values))
+
+    def stamped(taken: Column, values: Column) -> Column:
         def one(s: Column) -> Column:
             prefix = token_prefix(s["type"])
             if mode == "pseudonymise" and key is not None:
                 token = pseudonym(prefix, s["value"], key, width)
             else:
-                same = F.transform(F.filter(taken, lambda o: o["type"] == s["type"]), lambda o: o["value"])
-                token = F.concat(F.lit("["), prefix, F.lit("_"), F.array_position(F.array_distinct(same), s["value"]).cast("string"), F.lit("]"))
+                token = F.concat(F.lit("["), prefix, F.lit("_"), F.array_position(F.element_at(values, s["type"]), s["value"]).cast("string"), F.lit("]"))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["type"].alias("type"), token.alias("token"))
 
         return F.transform(taken, one)

@@ -59,7 +59,9 @@ def _tiles(images: DataFrame, width: Column, height: Column, overlap: int) -> Da
     """(image_id, tile_id, left, top, width, height), row by row."""
     rows = images.select("image_id", F.col("width").alias("iw"), F.col("height").alias("ih"), width.cast("int").alias("tw"), height.cast("int").alias("th"))
     tops = rows.select("*", F.posexplode(starts(F.col("ih"), F.col("th"), F.lit(overlap))).alias("row", "top"))
-    lefts = tops.select("*", F.posexplode(starts(F.col("iw"), F.col("tw"), F.lit(overlap))).alias("col", "left"), F.size(starts(F.col("iw"), F.col("tw"), F.lit(overlap))).alias("cols"))
+    # an array of one array: it is computed once, then unfolded with its size
+    across = tops.select("*", F.explode(F.array(starts(F.col("iw"), F.col("tw"), F.lit(overlap)))).alias("lefts"))
+    lefts = across.select("*", F.posexplode("lefts").alias("col", "left"), F.size("lefts").alias("cols"))
     return lefts.select("image_id", (F.col("row") * F.col("cols") + F.col("col")).cast("int").alias("tile_id"), "left", "top", F.least(F.col("tw"), F.col("iw") - F.col("left")).alias("width"), F.least(F.col("th"), F.col("ih") - F.col("top")).alias("height"))
 
 

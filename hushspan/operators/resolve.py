@@ -19,9 +19,9 @@ def settle(spans: list[dict], text: str) -> list[dict]:
     one wins, the earlier keeps what lies before it; if it loses, what lies behind the earlier one waits its turn.
     Remainders lose white space at their ends and vanish if nothing is left.
     """
-    waiting, kept = list(spans), []
+    waiting, kept = list(reversed(spans)), []
     while waiting:
-        new = waiting.pop(0)
+        new = waiting.pop()
         if not kept or new["start"] >= kept[-1]["end"]:
             kept.append(new)
             continue
@@ -33,7 +33,7 @@ def settle(spans: list[dict], text: str) -> list[dict]:
             rest = part(old, old["start"], new["start"], text)
             kept[-1:] = [new] if rest is None else [rest, new]
         elif (rest := part(new, old["end"], new["end"], text)) is not None:
-            at = next((i for i, w in enumerate(waiting) if w["start"] > rest["start"]), len(waiting))
+            at = next((i for i in range(len(waiting), 0, -1) if waiting[i - 1]["start"] > rest["start"]), 0)
             waiting.insert(at, rest)
     return kept
 

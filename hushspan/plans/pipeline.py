@@ -47,7 +47,9 @@ class Pipeline:
             raise ValueError("no detector is left: that nothing is found would mean nothing")
 
     def detect(self, df: DataFrame) -> DataFrame:
-        """df (text) with spans, disjoint and ascending. Empty and null texts have none."""
+        """df (text) with spans, disjoint and ascending; with user rules also error, null where all went well. Empty and null
+        texts have none. Columns of df with these names are refused."""
+        self._free(df, ["spans", *(["error"] if self.user_rules else [])])
         text = F.col("text")
         parts = [layer(text) for layer in self.layers]
         own = df
@@ -66,7 +68,7 @@ class Pipeline:
         if self.findings:
             own = own.withColumn("_model", gate(F.col(self.findings), F.col("_found"), text, self.names))
             own = own.withColumn("_found", F.concat("_found", "_model")).drop("_model")
-        own = resolve(own.withColumn("error", error).drop("_user"), "_found")
+        own = resolve(own.withColumn("error", error).drop("_user") if self.user_rules else own, "_found")
         if self.on_error == "raise" and self.user_rules:
             own = own.withColumn("spans", F.when(F.col("error").isNull(), F.col("spans")).otherwise(F.raise_error(F.col("error"))))
         elif self.user_rules:
@@ -75,8 +77,14 @@ class Pipeline:
 
     def run(self, df: DataFrame, mode: str = "redact", key: bytes | None = None, width: int = 8) -> DataFrame:
         """detect(), with tokens and redacted_text; redacted_text is null where spans are."""
+        self._free(df, ["tokens", "redacted_text"])
         return redacted(self.detect(df), mode, key, width)
 
+    @staticmethod
+    def _free(df: DataFrame, names: list[str]) -> None:
+        if taken := [n for n in names if n in df.columns]:
+            raise ValueError(f"columns that would be overwritten: {taken}")
+
 
 def html_redacted(pages: DataFrame, pipeline: Pipeline, column: str = "html") -> DataFrame:
     """pages with redacted_text of their plain text."""

@@ -489,8 +489,8 @@ def ocr_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases of users as reads of clips, in seconds."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    """Events of users as reads of clips, in seconds."""
+    e = table(spark, sf_dir, "events")
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0
     box = F.struct((F.col("event_id") % 5).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
     region = F.struct(F.lit("face").alias("type"), box.alias("box"), F.lit(0.5).alias("confidence"))
@@ -498,11 +498,12 @@ def clip_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 3 = 1").select(F.col("user_id").alias("clip_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("t")).distinct()
+    """A frame half an hour before each event."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0 - 1800.0).alias("t")).distinct()
 
 
-_S = "(SELECT DISTINCT user_id AS clip_id, epoch_us(ts) / 1000000.0 AS t FROM events WHERE event_id % 3 = 0)"
-_F = "(SELECT DISTINCT user_id AS clip_id, epoch_us(ts) / 1000000.0 AS t FROM events WHERE event_id % 3 = 1)"
+_S = "(SELECT DISTINCT user_id AS clip_id, epoch_us(ts) / 1000000.0 AS t FROM events)"
+_F = "(SELECT DISTINCT user_id AS clip_id, epoch_us(ts) / 1000000.0 - 1800.0 AS t FROM events)"
 
 
 @query(f"""
@@ -523,7 +524,7 @@ def video_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.verified(clip_samples(spark, sf_dir), clip_frames(spark, sf_dir), 100_000.0).select("clip_id", "t", "sample_t")
 
 
-@query("SELECT user_id AS clip_id, 'face' AS type, (event_id % 5)::BIGINT AS x, min(epoch_us(ts) / 1000000.0)::DOUBLE AS t FROM events WHERE event_id % 3 = 0 GROUP BY 1, 3")
+@query("SELECT user_id AS clip_id, 'face' AS type, (event_id % 5)::BIGINT AS x, min(epoch_us(ts) / 1000000.0)::DOUBLE AS t FROM events GROUP BY 1, 3")
 def video_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.distinct_regions(clip_samples(spark, sf_dir)).select("clip_id", "type", "x", "t")
 

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushspan.operators.gate import CATEGORIES
+
 VERSION, MOST_RULES = 1, 2000
 
 
@@ -78,7 +80,7 @@ def guard_output(source: str, target: str) -> None:
 PROMPT = {
     "instructions": "Find what identifies a person. Copy each value exactly as it stands in the text; leave out what merely describes.",
     "template": "Name every identifier in the text below, each with one of these categories: {categories}.\n\n{text}",
-    "categories": "NAME ADDRESS ZIP DOB DATE PHONE FAX EMAIL SSN MRN ACCOUNT LICENSE BENEFICIARY IP URL DEVICE VEHICLE AGE SEX RACE MARITAL OTHER".split(),
+    "categories": CATEGORIES,
 }
 # Formats that a redacted document is written in, by the extension asked for.
 DOCUMENT_TYPES = {"docx": "docx", "doc": "doc", "html": "html", "htm": "html", "odt": "odt"}

@@ -1,10 +1,15 @@
 """Detectors on short texts, the cases that decide between a hit and a miss."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from hushspan.functions.rules import GIVEN_NAMES, RULES, check
+from hushspan.functions.spans import places, rules_spans
 from hushspan.operators import detect, gate
+from hushspan.operators.detect import name_spans
 from hushspan.plans.pipeline import Pipeline
 
 NAMES = set(GIVEN_NAMES)
@@ -110,3 +115,37 @@ def test_no_detector_is_an_error():
         Pipeline(layers=[])
     with pytest.raises(ValueError):
         Pipeline(layers=["none"])
+
+
+def test_long_texts_of_a_rules_own_alphabet(spark):
+    """Chains that Java would match by recursion, and very many matches in one text."""
+    rule = {r.type: r for r in RULES}
+    texts = [("a." * 500_000 + " x.com", [(1_000_001, "x.com")]), ("a." * 100_000 + "com.b x", [(0, "a." * 100_000 + "com")]), ("b.com_x www.foo.com.bar-baz.qux foo.com-x.bar", [(8, "www.foo.com"), (32, "foo.com")])]
+    for text, want in texts:
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        got = df.select(rules_spans(F.col("text"), [rule["domain"]]).alias("s")).first()["s"]
+        assert [(s["start"], s["value"]) for s in got] == want
+    many = "10.0.0.1 " * 20_000
+    began = time.time()
+    got = spark.createDataFrame([(1, many)], "doc_id long, text string").select(rules_spans(F.col("text"), [rule["ip"]]).alias("s")).select(F.size("s").alias("n"), F.col("s")[19_999]["start"].alias("last")).first()
+    assert (got["n"], got["last"]) == (20_000, 179_991) and time.time() - began < 60
+    names = "Mr John " + "A-" * 8_000 + "A end"
+    assert spark.createDataFrame([(1, names)], "doc_id long, text string").select(name_spans(F.col("text")).alias("s")).first()["s"][0]["start"] == 3
+
+
+def test_domain_chain_equals_the_plain_pattern(spark):
+    rng, rule = random.Random(5), {r.type: r for r in RULES}["domain"]
+    bits = ["a", "b-c", "com", "org", ".", ".", "-", "_", " ", "é", "x" * 63, "y" * 64, "de", "9", "com-", ".co"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select("doc_id", F.transform(places(F.col("text"), rule.java, rule.flags + rule.inside), lambda m: m["value"]).alias("new"), F.regexp_extract_all("text", F.lit("(?U)" + rule.pattern), 0).alias("old")).collect()
+    assert [r["doc_id"] for r in got if r["new"] != r["old"]] == []
+
+
+def test_columns_are_not_overwritten(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "mine")], "doc_id long, text string, error string")
+    assert Pipeline().run(df).first()["error"] == "mine"
+    with pytest.raises(ValueError):
+        Pipeline().run(df.withColumnRenamed("error", "spans"))
+    with pytest.raises(ValueError):
+        Pipeline(user_rules=[{"name": "n", "pattern": "x"}]).run(df)
