@@ -14,10 +14,38 @@ from pyspark.sql import functions as F
 #: Pixels that a painted box reaches over its edge; side of a pixelated cell; radius of a blur.
 BLEED, CELL, RADIUS = 2, 12, 8
 STYLES = ("solid", "gradient", "blur", "pixelate")
-
-
-def paint(width: int, height: int, rgba: bytes, regions: list[dict], style: str = "solid", color: tuple[int, int, int] = (0, 0, 0)) -> bytes:
-    """The image with every enabled region covered. Colours are opaque; a region beyond the image is cut to it."""
+#: Letters of 3 by 5 dots, row by row; all that a token can hold.
+GLYPHS = {
+    "0": "### #.# #.# #.# ###", "1": ".#. ##. .#. .#. ###", "2": "##. ..# .#. #.. ###", "3": "##. ..# .#. ..# ##.", "4": "#.# #.# ### ..# ..#",
+    "5": "### #.. ##. ..# ##.", "6": ".## #.. ### #.# ###", "7": "### ..# .#. .#. .#.", "8": "### #.# ### #.# ###", "9": "### #.# ### ..# ##.",
+    "A": ".#. #.# ### #.# #.#", "B": "##. #.# ##. #.# ##.", "C": ".## #.. #.. #.. .##", "D": "##. #.# #.# #.# ##.", "E": "### #.. ##. #.. ###",
+    "F": "### #.. ##. #.. #..", "G": ".## #.. #.# #.# .##", "H": "#.# #.# ### #.# #.#", "I": "### .#. .#. .#. ###", "J": "..# ..# ..# #.# .#.",
+    "K": "#.# #.# ##. #.# #.#", "L": "#.. #.. #.. #.. ###", "M": "#.# ### ### #.# #.#", "N": "##. #.# #.# #.# #.#", "O": ".#. #.# #.# #.# .#.",
+    "P": "##. #.# ##. #.. #..", "Q": ".#. #.# #.# ### .##", "R": "##. #.# ##. #.# #.#", "S": ".## #.. .#. ..# ##.", "T": "### .#. .#. .#. .#.",
+    "U": "#.# #.# #.# #.# ###", "V": "#.# #.# #.# #.# .#.", "W": "#.# #.# ### ### #.#", "X": "#.# #.# .#. #.# #.#", "Y": "#.# #.# .#. .#. .#.",
+    "Z": "### ..# .#. #.. ###", "_": "... ... ... ... ###", "[": "##. #.. #.. #.. ##.", "]": ".## ..# ..# ..# .##",
+}
+
+
+def stamp(box: np.ndarray, token: str) -> None:
+    """Writes a token into the middle of a box, as large as fits, in black or white, whichever stands out; nothing where it
+    doesn't fit. Characters without a glyph stay blank."""
+    size = min((box.shape[1] - 2) // (4 * len(token)), (box.shape[0] - 2) // 5) if token else 0
+    if size < 1:
+        return
+    dots = np.zeros((5, 4 * len(token)), bool)
+    for i, c in enumerate(token):
+        for y, row in enumerate(GLYPHS.get(c, "").split()):
+            dots[y, 4 * i : 4 * i + 3] = [d == "#" for d in row]
+    dots = dots.repeat(size, 0).repeat(size, 1)
+    y, x = (box.shape[0] - dots.shape[0]) // 2, (box.shape[1] - dots.shape[1]) // 2
+    box[y : y + dots.shape[0], x : x + dots.shape[1]][dots] = (0, 0, 0, 255) if box[..., :3].mean() > 127 else (255, 255, 255, 255)
+
+
+def paint(width: int, height: int, rgba: bytes, regions: list[dict], style: str = "solid", color: tuple[int, int, int] = (0, 0, 0), stamped: bool = False) -> bytes:
+    """The image with every enabled region covered. Colours are opaque; a region beyond the image is cut to it. stamped:
+    regions' tokens are written on the boxes of solid and gradient, after all boxes are painted."""
+    boxes = []
     image = np.frombuffer(rgba, np.uint8).reshape(height, width, 4).copy()
     for r in regions:
         if not r.get("enabled", True):
@@ -42,6 +70,9 @@ def paint(width: int, height: int, rgba: bytes, regions: list[dict], style: str
             box[..., 3] = 255
         else:
             box[:] = (*color, 255)
+        boxes.append((box, r.get("token") or ""))
+    for box, token in boxes if stamped and style in ("solid", "gradient") else ():
+        stamp(box, token)
     return image.tobytes()
 
 
@@ -57,7 +88,7 @@ def png(width: int, height: int, rgba: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
-def painted_png(width: Column, height: Column, rgba: Column, regions: Column, style: str = "solid") -> Column:
+def painted_png(width: Column, height: Column, rgba: Column, regions: Column, style: str = "solid", stamped: bool = False) -> Column:
     """PNG bytes of each painted image; null where the pixels don't fit the size."""
     if style not in STYLES:
         raise ValueError(f"unknown style: {style}")
@@ -65,7 +96,7 @@ def painted_png(width: Column, height: Column, rgba: Column, regions: Column, st
     @F.pandas_udf("binary")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ws, hs, pixels, rs in batches:
-            yield pd.Series([png(w, h, paint(w, h, p, [dict(x) for x in r], style)) if p is not None and len(p) == 4 * w * h else None for w, h, p, r in zip(ws, hs, pixels, rs, strict=True)], dtype=object)
+            yield pd.Series([png(w, h, paint(w, h, p, [dict(x) for x in r], style, stamped=stamped)) if p is not None and len(p) == 4 * w * h else None for w, h, p, r in zip(ws, hs, pixels, rs, strict=True)], dtype=object)
 
     return run(width, height, rgba, regions)
 

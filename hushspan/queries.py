@@ -12,6 +12,7 @@ from hushspan.functions.rules import DATA_RULES, RULES
 from hushspan.functions.spans import rules_spans
 from hushspan.operators import binaries, detect, gate, images, redact, regions, video
 from hushspan.operators.resolve import resolve
+from hushspan.plans.images import ImagePipeline
 from hushspan.plans.pipeline import Pipeline, html_redacted
 from hushspan.sources import config, files, usage
 
@@ -424,6 +425,30 @@ def ocr_region_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.span_boxes(lines, whole).select("image_id", "x", "y", "w", "h")
 
 
+EMAIL = next(r for r in RULES if r.type == "email")
+_LINES = """(SELECT doc_id, idx, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(line) AS len
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents WHERE text IS NOT NULL))"""
+
+
+@query(f"""
+WITH l AS {_LINES}, s AS ({corpus_oracle("documents", "doc_id", "text", EMAIL.pattern, "email", EMAIL.confidence, "gi" if EMAIL.ignore_case else "g")}),
+hit AS (SELECT s.doc_id, span_start, span_end, confidence, idx * 20.0 AS y,
+               CASE WHEN idx % 2 = 0 AND start < span_end AND span_start < start + 40 THEN 400.0 ELSE len * 10.0 END AS w
+        FROM l JOIN s ON l.doc_id = s.doc_id AND start < span_end AND span_start < start + len)
+SELECT doc_id, span_start, span_end, 'email' AS type, confidence, 0.0::DOUBLE AS x, min(y)::DOUBLE AS y, max(w)::DOUBLE AS w, (max(y) + 16.0 - min(y))::DOUBLE AS h
+FROM hit GROUP BY doc_id, span_start, span_end, confidence
+""")
+def image_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail addresses as boxes, each document an image and its lines those that were read; in every second line the first
+    40 characters have a box of their own."""
+    line = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
+    y = F.col("idx") * 20.0
+    word = F.struct(F.lit(0).alias("start"), F.lit(40).alias("end"), F.struct(F.lit(0.0).alias("x"), y.alias("y"), F.lit(400.0).alias("w"), F.lit(16.0).alias("h")).alias("box"))
+    read = line.select("*", F.lit(0.0).alias("x"), y.alias("y"), (F.length("text") * 10.0).alias("w"), F.lit(16.0).alias("h"), F.when(F.col("idx") % 2 == 0, F.array(word)).alias("words"))
+    one = ImagePipeline(Pipeline(layers=("regex",), rules=[EMAIL])).regions(read).select("image_id", F.explode("regions").alias("r"))
+    return one.select(F.col("image_id").alias("doc_id"), F.col("r.start").cast("long").alias("span_start"), F.col("r.end").cast("long").alias("span_end"), "r.type", "r.confidence", "r.x", "r.y", "r.w", "r.h")
+
+
 def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") * 37 % 5000 + 1).cast("int").alias("width"), (F.col("p_partkey") * 101 % 20000 + 1).cast("int").alias("height"))
 

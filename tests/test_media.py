@@ -73,6 +73,58 @@ def test_painting():
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(data[41 : data.index(b"IEND") - 8])[1:5] == b"\xff\xff\xff\xff"
 
 
+def test_stamps():
+    region = {"x": 4.0, "y": 4.0, "w": 60.0, "h": 20.0, "token": "NAME_A1"}
+    white = b"\xff" * (80 * 30 * 4)
+    plain, stamped = images.paint(80, 30, white, [region]), images.paint(80, 30, white, [region], stamped=True)
+    assert plain != stamped and stamped == images.paint(80, 30, white, [region], stamped=True)
+    pixels = {stamped[i : i + 4] for i in range(0, len(stamped), 4)}
+    assert pixels == {b"\xff\xff\xff\xff", b"\0\0\0\xff"}
+    # a box too small for its token, and styles that show what lies below, stay as they are
+    small = region | {"w": 8.0}
+    assert images.paint(80, 30, white, [small], stamped=True) == images.paint(80, 30, white, [small])
+    assert images.paint(80, 30, white, [region], "blur", stamped=True) == images.paint(80, 30, white, [region], "blur")
+
+
+def test_image_pipeline(spark):
+    from hushspan.plans.images import ImagePipeline
+
+    schema = f"image_id long, idx int, text string, x double, y double, w double, h double, words {regions.WORDS}, extra string"
+    word = lambda a, b: {"start": a, "end": b, "box": box(a * 2, 0, (b - a) * 2, 8)}
+    lines = [(1, 0, "to ann@example.org now", 0.0, 0.0, 44.0, 8.0, [word(0, 2), word(3, 18), word(19, 22)], "e"), (1, 1, None, 0.0, 10.0, 5.0, 8.0, None, "e"), (1, 2, "SSN 123-45-6789", 0.0, 20.0, 30.0, 8.0, None, "e")]
+    lines += [(2, 0, "", 0.0, 0.0, 1.0, 1.0, None, "e"), (3, 0, "bob@example.org", 0.0, 0.0, 30.0, 8.0, None, "e"), (6, 0, "no image", 0.0, 0.0, 9.0, 9.0, None, "e")]
+    read = spark.createDataFrame(lines, schema)
+    white = bytearray(b"\xff" * (50 * 30 * 4))
+    shown = spark.createDataFrame([(1, 50, 30, white), (2, 50, 30, white), (3, 50, 30, white[:-1]), (4, 50, 30, white), (None, 50, 30, white)], "image_id long, width int, height int, rgba binary")
+    face = spark.createDataFrame([(2, "face", 0.9, 5.0, 5.0, 10.0, 10.0), (2, "face", 0.8, 6.0, 6.0, 9.0, 9.0), (4, "face", 0.9, 1.0, 1.0, 2.0, 2.0)], "image_id long, type string, confidence double, x double, y double, w double, h double")
+    own = ImagePipeline()
+    found = {r["image_id"]: {x["type"]: x for x in r["regions"]} for r in own.regions(read, face).collect()}
+    assert set(found) == {1, 2, 3, 6} and found[6] == {}
+    at = lambda r: (r["x"], r["y"], r["w"], r["h"])
+    assert at(found[1]["email"]) == (6.0, 0.0, 30.0, 8.0) and at(found[1]["ssn"]) == (0.0, 20.0, 30.0, 8.0)
+    assert found[1]["email"]["enabled"] and found[1]["email"]["token"] and "value" not in found[1]["email"].asDict()
+    assert len(found[2]) == 1 and found[2]["face"]["source"] == "face" and found[2]["face"]["token"] is None
+    out = {r["image_id"]: r for r in own.redact(shown, read, face, mode="pseudonymise", key=b"k" * 32).collect()}
+    painted = images.png(50, 30, images.paint(50, 30, bytes(white), [x.asDict() for x in out[1]["regions"]], stamped=True))
+    assert bytes(out[1]["png"]) == painted != images.png(50, 30, bytes(white))
+    # unread images, odd pixels and null ids come out empty instead of unpainted
+    assert out[2]["png"] is not None and [out[i]["png"] for i in (3, 4, None)] == [None] * 3
+    assert own.redact(shown.where("false"), read).count() == 0 and own.regions(read.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        own.redact(shown.withColumn("png", F.lit(1)), read)
+
+
+def test_a_span_over_lines(spark):
+    from hushspan.plans.images import region_rows
+
+    line = lambda text, y: {"text": text, "x": 0.0, "y": y, "w": 9.0, "h": 5.0, "words": []}
+    lines = [line("abc", 0.0), line("", 10.0), line("defg", 20.0)]
+    s = {"type": "name", "confidence": 0.6, "source": "regex", "disposition": "flag", "enabled": False}
+    r = region_rows([s | {"start": 1, "end": 7}, s | {"start": 8, "end": 9}], {1: "T"}, lines)
+    assert [(x["y"], x["h"], x["token"], x["enabled"]) for x in r] == [(0.0, 25.0, "T", False), (20.0, 5.0, None, False)]
+    assert region_rows([s | {"start": 3, "end": 4}], {}, lines) == []  # a newline has no box
+
+
 def test_thumbnails(spark):
     df = spark.createDataFrame([(4000, 2000), (600, 3000), (4000, 3), (100, 50)], "w int, h int")
     got = [tuple(r[0]) for r in df.select(images.thumbnail_size(F.col("w"), F.col("h"))).collect()]
