@@ -35,6 +35,8 @@ class Rule:
 # Parts of the rule for domains.
 _LABELS = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)"
 _TOP = "(?:com|org|net|edu|gov|io|co|mil|int|uk|de|fr|ca|au|nl|ch|eu|us)"
+# The shape of a phone; the rule bounds it.
+PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}"
 
 # Patterns, confidences and dispositions that results depend on, in the order that breaks ties.
 RULES = [
@@ -62,7 +64,7 @@ RULES = [
 
 # What the platform's own detector is stood in for (phone, dates, links, street addresses).
 DATA_RULES = [
-    Rule("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?!\w)", 0.85, hint=r"\p{Nd}[ .-]\p{Nd}"),
+    Rule("phone", rf"(?<![\w.]){PHONE}(?!\w)", 0.85, hint=r"\p{Nd}[ .-]\p{Nd}"),
     Rule("date", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.? \d{1,2},? \d{4})\b", 0.85, hint=r"\p{Nd}"),
     Rule("url", r"\bhttps?://[^\s<>\"']+[^\s<>\"'.,;:!?)]", 0.85, True, needs=("http",)),
     Rule("address", r"\b\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Way)\b\.?", 0.85, hint=r"\p{Nd} [A-Z]"),

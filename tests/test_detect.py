@@ -3,6 +3,7 @@
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from hushspan.functions.spans import places, rules_spans
 from hushspan.operators import detect, gate
 from hushspan.operators.detect import name_spans
 from hushspan.plans.pipeline import Pipeline
+from hushspan.queries import ORACLES, QUERIES
 
 NAMES = set(GIVEN_NAMES)
 
@@ -142,6 +144,22 @@ def test_domain_chain_equals_the_plain_pattern(spark):
     assert [r["doc_id"] for r in got if r["new"] != r["old"]] == []
 
 
+def test_phone_query_equals_its_sql(spark, tmp_path):
+    rng, bits = random.Random(7), ["743", "3824", "-", " ", "."] * 4 + ["+1", "(", ")", "20", "5", "a", "_", "é", "😀", "٣٣٣", "\n"]
+    inside = ["38.253.197.126 4880761348116108", "é😀 204.213.132 4116106959541135\nÉ", "123-456-78901234-567-8901", "x123 456 7890", "+1 (743) 555-3824_"]
+    texts = inside + ["call +1 (743) 555-3824.", "٣٣٣-٣٣٣-٣٣٣٣", "", None] + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["phone_spans"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["phone_spans"]).fetchall())
+    assert [r[:4] for r in got[:2]] == [(0, 7, 19, "197.126 4880"), (1, 7, 19, "213.132 4116")] and {r[0] for r in got} >= {2, 3, 4, 5} and not {r[0] for r in got} & {6, 7, 8}
+    # the detectors' rule stays bounded
+    kept = df.where("doc_id < 6").select("doc_id", F.transform(detect.data_spans(F.col("text")), lambda s: s["value"]).alias("v")).orderBy("doc_id").collect()
+    assert [r["v"] for r in kept] == [[], [], [], [], [], ["+1 (743) 555-3824"]]
+
+
 def test_columns_are_not_overwritten(spark):
     df = spark.createDataFrame([(1, "a@b.co", "mine")], "doc_id long, text string, error string")
     assert Pipeline().run(df).first()["error"] == "mine"
